@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import topk_search
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -26,10 +28,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best inner products of every fiftieth vector against all others."""
+    from .topk_search import top_k_search
+
+    return top_k_search(_read(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal label at cosine 0.98."""
+    from .embedding_dedup import embedding_near_dedup
+
+    return embedding_near_dedup(_read(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
+    "op3_topk_search": op3_topk_search,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 #: DuckDB SQL where SQL can express the query over whole tables.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_topk_search": topk_search.SQL}
