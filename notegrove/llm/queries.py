@@ -35,6 +35,16 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_search(_read(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source targets of 150 percent of all words."""
+    from pyspark.sql import functions as F
+
+    from .mixing import mix_sources
+
+    out = mix_sources(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors of equal label at cosine 0.98."""
     from .embedding_dedup import embedding_near_dedup
@@ -46,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op3_topk_search": op3_topk_search,
+    "op6_mixing": op6_mixing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
