@@ -14,8 +14,8 @@ SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes hashed at once; keeps the temporaries of a Python worker near 100 MB.
-SEGMENT = 1 << 21
+#: Bytes hashed at once; keeps the temporaries of a Python worker near 50 MB.
+SEGMENT = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

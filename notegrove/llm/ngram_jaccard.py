@@ -33,6 +33,7 @@ from .components import connected_components
 
 CHUNK = 256
 SPARE = 1
+CHANCE = 0.1
 #: Sets of up to this many ids are sent to all executors to filter texts (16 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -87,7 +88,7 @@ def allocate(band: int, bounds: list[int], percent: int, sets: int) -> list[int]
     """Capacities of the band's segments; None if only equal sets can be similar.
 
     Every share k of one-deletion segments is costed as index rows plus the accidental
-    pairs that ``sets`` sets make if two elements' worth of chance agreement is 1/2.
+    pairs that ``sets`` sets make if unrelated sets share an element's place by ``CHANCE``.
     """
     top = bounds[band + 1] - 1
     difference = most_difference(top + top * 100 // percent, percent)
@@ -100,7 +101,7 @@ def allocate(band: int, bounds: list[int], percent: int, sets: int) -> list[int]
         segments = capacity - doubles
         length = size / segments
         rows = segments + doubles * length
-        chance = (segments - doubles) * 0.5**length + doubles * (1 + length) * 0.5 ** max(length - 1, 0)
+        chance = (segments - doubles) * CHANCE**length + doubles * (1 + length) * CHANCE ** max(length - 1, 0)
         cost = sets * rows + sets * sets * chance
         if best is None or cost < best[0]:
             best = (cost, [2] * doubles + [1] * (segments - doubles))
