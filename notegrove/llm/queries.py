@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import topk_search
@@ -35,6 +36,18 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_search(_read(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 ids."""
+    from pyspark.sql import functions as F
+
+    from .packing import pack_documents
+
+    out = pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source targets of 150 percent of all words."""
     from pyspark.sql import functions as F
@@ -56,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op3_topk_search": op3_topk_search,
+    "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
