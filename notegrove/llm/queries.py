@@ -36,6 +36,16 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_search(_read(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from pyspark.sql import functions as F
+
+    from .html_extract import extract_pages
+
+    out = extract_pages(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 ids."""
     from pyspark.sql import functions as F
@@ -69,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op3_topk_search": op3_topk_search,
+    "op4_html_extraction": op4_html_extraction,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
