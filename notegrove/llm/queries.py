@@ -68,6 +68,30 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, read back."""
+    from pyspark.sql import functions as F
+
+    from .token_store import tokens_round_trip
+
+    out = tokens_round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later copies of line runs of 50 words or more."""
+    from .line_dedup import line_dedup
+
+    return line_dedup(_read(spark, sf_dir, "documents"), min_words=50).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document."""
+    from .lm_score import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors of equal label at cosine 0.98."""
     from .embedding_dedup import embedding_near_dedup
@@ -82,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": op4_html_extraction,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op7_token_files": op7_token_files,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
