@@ -155,12 +155,12 @@ def top_k_search(
 
 SQL = """
 WITH given AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, g.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, g.v), t -> t[1] * t[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.v, g.v), lambda t: t[1] * t[2])) AS BIGINT) AS score
   FROM given q JOIN given g ON q.vec_id % 50 = 0 AND q.vec_id <> g.vec_id
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM scored
