@@ -51,6 +51,8 @@ def fold_changes(events: Iterable[tuple[str, str, str | None]]) -> dict[str, Pen
                 if lost not in (path, origin) and lost not in out:
                     del out[path]
                     out[lost] = Pending("delete")
+            if origin != source:  # what was at the old path before the batch is not there any more
+                out[source] = Pending("delete")
             out[path] = Pending("move" if before is None else "delete" if before.kind == "delete" else "index", origin)
     return out
 
@@ -82,12 +84,20 @@ def apply_changes(docs: DataFrame, batch: DataFrame, settings: Settings = Settin
     live = todo.filter(~gone)
     ids = docs.select("id", "path")
     # ids: a record at the origin lends its id to the new path
-    moved = live.join(ids.withColumnRenamed("path", "origin"), "origin", "left").select("path", "origin", "kind", "id")
+    lent = todo.filter(F.col("origin") != F.col("path")).select("origin").distinct()
+    own = live.filter(F.col("origin") == F.col("path")).join(lent, "origin", "left_anti")
+    keeps = own.unionByName(live.filter(F.col("origin") != F.col("path")))
+    known = keeps.join(ids.withColumnRenamed("path", "origin"), "origin", "left").select("path", "id")
+    moved = live.join(known, "path", "left").select("path", "origin", "kind", "id")
     touched = todo.select("path").union(todo.select(F.col("origin").alias("path"))).distinct()
     untouched = docs.join(touched, "path", "left_anti").select(DOCS.fieldNames())
     newest = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("seq")))
     payload = batch.filter("raw is not null").withColumn("n", newest).filter("n = 1").select("path", "raw", "ctime", "mtime")
     files = moved.filter(F.col("kind") == "index").select("path", F.col("id").alias("kept_id")).join(payload, "path")
+    # a path whose record has moved on gets an id that the moved one does not have
+    renewed = F.xxhash64("path", "mtime")
+    files = files.join(lent.select(F.col("origin").alias("path"), F.lit(True).alias("lent")), "path", "left")
+    files = files.withColumn("kept_id", F.coalesce("kept_id", F.when(F.col("lent"), renewed))).drop("lent")
     fresh = build_docs(files.select("path", "raw", "ctime", "mtime"), settings).join(files.select("path", "kept_id"), "path")
     fresh = fresh.withColumn("id", F.coalesce("kept_id", "id")).select(DOCS.fieldNames())
     renamed = moved.filter((F.col("kind") == "move") & F.col("id").isNotNull() & (F.col("path") != F.col("origin"))).select(F.col("path").alias("to"), "id")
