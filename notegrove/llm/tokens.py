@@ -13,14 +13,26 @@ here cannot join ids over a word boundary:
 
 from __future__ import annotations
 
-import itertools
 import re
 
 import numpy as np
 
-#: Distinct words held per worker, at most; the cache then starts anew.
-CACHE = 800_000
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+#: Distinct words of a generation of the cache; two are held per worker.
+GENERATION = 700_000
+#: White space other than blank and line feed.
+_OTHER = re.compile(r"[^\S \n]")
+#: Words encoded in one call; longer texts take the library more time a word.
+GROUP = 16
+
+
+def _odd(text: str) -> bool:
+    """Whether white space comes in runs, at an end, or as anything but blank and line feed."""
+    return (
+        text[0].isspace()
+        or text[-1].isspace()
+        or any(pair in text for pair in ("  ", "\n ", " \n", "\n\n"))
+        or _OTHER.search(text) is not None
+    )
 
 
 class WordEncoder:
@@ -33,9 +45,14 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype(dtype)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         feed = self._ids("\n")
         self.byte_level = len(feed) > 0
         self.feed = self._bytes(feed)
+        # ids after which a word of a group ends: the line feed's own, or those of word ends
+        size = self.tokenizer.get_vocab_size()
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.ends = np.array([i == feed[0] for i in range(size)] if self.byte_level else [n.endswith("</w>") for n in names])
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -50,20 +67,42 @@ class WordEncoder:
         are put together from two parts, of which the first is often known already.
         """
         cut = {w: (w[:-1], w[-1]) for w in words if w[-1] in ",." and len(w) > 1 and w[-2].isalnum()}
-        plain = {w for w in words if w not in cut}
-        plain |= {x for pair in cut.values() for x in pair if x not in self.cache}
-        for a in range(0, len(plain), 20_000):
-            part = list(itertools.islice(plain, a, a + 20_000))
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[w] = self._bytes(e.ids)
+        plain = [w for w in words if w not in cut]
+        plain += {x for pair in cut.values() for x in pair if x not in self.cache}
+        if not self.byte_level:  # only letters are sure to make one pre-token, with one end
+            self._learn_each([w for w in plain if not w.isalpha()])
+            plain = [w for w in plain if w.isalpha()]
+        joint = "\n" if self.byte_level else " "
+        for a in range(0, len(plain), 100 * GROUP):
+            self._learn_groups(plain[a : a + 100 * GROUP], joint)
         for w, (x, y) in cut.items():
             self.cache[w] = self.cache[x] + self.cache[y]
 
+    def _learn_each(self, words: list[str]) -> None:
+        for a in range(0, len(words), 5000):
+            part = words[a : a + 5000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.cache[w] = self._bytes(e.ids)
+
+    def _learn_groups(self, words: list[str], joint: str) -> None:
+        """Encode groups of words in one text each and cut the ids at the words' ends."""
+        groups = [joint.join(words[i : i + GROUP]) + ("\n" if self.byte_level else "") for i in range(0, len(words), GROUP)]
+        ids = [i for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False) for i in e.ids]
+        flat = np.array(ids, dtype=self.dtype)
+        after = np.flatnonzero(self.ends[flat]) + 1 if len(flat) else np.zeros(0, np.int64)
+        if len(after) != len(words) or after[-1] != len(flat):
+            return self._learn_each(words)
+        width, drop = self.dtype.itemsize, int(self.byte_level)
+        data, start = flat.tobytes(), 0
+        for w, end in zip(words, after.tolist()):
+            self.cache[w] = data[width * start : width * (end - drop)]
+            start = end
+
     def _pieces(self, text: str) -> list[str] | None:
         """Words whose encodings add up to the text's; ``"\\n"`` stands for a line feed's."""
         if not self.byte_level:
             return text.replace("\n", " ").split(" ")
-        if _ODD.search(text):
+        if _odd(text):
             return None
         out: list[str] = []
         for line in text.split("\n"):
@@ -77,14 +116,16 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null and empty texts have none."""
         split = [self._pieces(t) if t else [] for t in texts]
-        self.cache.setdefault("", b"")
-        wanted = {w for p in split if p for w in p}
-        missing = [w for w in wanted if w not in self.cache and w != "\n"]
-        if len(self.cache) + len(missing) > CACHE:
-            self.cache = {}
-            missing = [w for w in wanted if w and w != "\n"]
-        if missing:
-            self._learn(missing)
+        wanted = set().union(*(p for p in split if p))
+        wanted -= {"", "\n"} if self.byte_level else {""}
+        if len(self.cache) > GENERATION:
+            self.older, self.cache = self.cache, {}
+        missing = wanted - self.cache.keys()
+        known = missing & self.older.keys() if self.older else set()
+        for w in known:
+            self.cache[w] = self.older[w]
+        if len(missing) > len(known):
+            self._learn(list(missing - known))
         self.cache[""] = b""
         if self.byte_level:
             self.cache["\n"] = self.feed
