@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,35 +17,38 @@ DAY = 86_400_000
 
 def occurrence_factor(n: Column) -> Column:
     """Damped count: 0, 1, and towards 2.2 for many."""
-    log = F.log(n.cast("double"))
-    return F.when(n <= 0, 0.0).when(n <= 1, 1.0).otherwise(1 + 1.2 * (log / (log + 4)))
+    log = F.log(F.greatest(n, F.lit(1)).cast("double"))
+    return F.when(n <= 0, 0.0).otherwise(1 + 1.2 * (log / (log + 4)))
+
+
+def _weights(w: Weights) -> Column:
+    return F.array(*(F.struct(F.lit(f).alias("field"), F.lit(float(w.field[f])).alias("weight")) for f in FIELDS))
 
 
-def _count(matches: Column, where: str) -> Column:
+def _count(matches: Column, where) -> Column:
     return F.size(F.filter(matches, lambda m: m["field"] == where))
 
 
 def base(matches: Column, w: Weights) -> Column:
-    return sum((F.lit(w.field[f]) * occurrence_factor(_count(matches, f)) for f in FIELDS), F.lit(0.0))
+    return F.aggregate(_weights(w), F.lit(0.0), lambda acc, f: acc + f["weight"] * occurrence_factor(_count(matches, f["field"])))
 
 
 def frequency_factor(matches: Column, w: Weights) -> Column:
     """How much repetition adds to the base; for explanation only."""
-    single = sum((F.when(_count(matches, f) > 0, w.field[f]).otherwise(0.0) for f in FIELDS), F.lit(0.0))
+    single = F.aggregate(_weights(w), F.lit(0.0), lambda acc, f: acc + F.when(_count(matches, f["field"]) > 0, f["weight"]).otherwise(0.0))
     return F.when(single > 0, base(matches, w) / single).otherwise(1.0)
 
 
 def whole_word_factor(matches: Column, w: Weights) -> Column:
     """The bonus for whole words, weighted by the fields of the matches."""
     weight = F.create_map(*(F.lit(x) for f in FIELDS for x in (f, float(w.field[f]))))
+    start = F.struct(F.lit(0.0).alias("bonus"), F.lit(0.0).alias("plain"))
 
-    def total(bonus: float) -> Column:
-        def add(acc: Column, m: Column) -> Column:
-            return acc + weight[m["field"]] * F.when(m["whole_word"], bonus).otherwise(1.0)
+    def add(acc: Column, m: Column) -> Column:
+        one = weight[m["field"]]
+        return F.struct((acc["bonus"] + one * F.when(m["whole_word"], w.whole_word).otherwise(1.0)).alias("bonus"), (acc["plain"] + one).alias("plain"))
 
-        return F.aggregate(matches, F.lit(0.0), add)
-
-    return F.when(F.size(matches) > 0, total(w.whole_word) / total(1.0)).otherwise(1.0)
+    return F.aggregate(matches, start, add, lambda acc: F.when(acc["plain"] > 0, acc["bonus"] / acc["plain"]).otherwise(1.0))
 
 
 def covering_width(matches: Column, terms: int) -> Column:
@@ -113,25 +119,33 @@ def quality_factor(quality: Column, w: Weights) -> Column:
     return F.when(quality == 2, w.fuzzy).when(quality == 1, w.alias).otherwise(1.0)
 
 
-def breakdown(query: Query, now: int, w: Weights = Weights()) -> Column:
-    """All factors of a hit's score, over ``matches``, ``quality`` and ``modified_at``."""
+def _factors(query: Query, now: int, w: Weights) -> dict[str, Column]:
     m = F.col("matches").cast(MATCHES)
-    parts = {
+    return {
         "base": base(m, w),
-        "frequency": frequency_factor(m, w),
         "whole_word": whole_word_factor(m, w),
         "proximity": proximity_factor(m, query, w),
         "recency": recency_factor(F.col("modified_at"), now, w),
         "quality": quality_factor(F.col("quality"), w),
     }
+
+
+def score(query: Query, now: int, w: Weights = Weights()) -> Column:
+    """The product of a hit's factors, over ``matches``, ``quality`` and ``modified_at``."""
+    return reduce(mul, _factors(query, now, w).values())
+
+
+def breakdown(query: Query, now: int, w: Weights = Weights()) -> Column:
+    """A hit's factors one by one, with each field's part of the base and the total."""
+    m = F.col("matches").cast(MATCHES)
+    parts = _factors(query, now, w) | {"frequency": frequency_factor(m, w), "total": score(query, now, w)}
     fields = F.struct(*((F.lit(w.field[f]) * occurrence_factor(_count(m, f))).alias(f) for f in FIELDS))
-    total = parts["base"] * parts["whole_word"] * parts["proximity"] * parts["recency"] * parts["quality"]
-    return F.struct(*(v.alias(k) for k, v in parts.items()), fields.alias("fields"), total.alias("total"))
+    return F.struct(*(v.alias(k) for k, v in parts.items()), fields.alias("fields"))
 
 
 def with_scores(hits: DataFrame, query: Query, now: int, w: Weights = Weights()) -> DataFrame:
     """``hits`` with ``score``; 0 where the query has no positive term."""
-    return hits.withColumn("score", breakdown(query, now, w)["total"] if query.terms else F.lit(0.0))
+    return hits.withColumn("score", score(query, now, w) if query.terms else F.lit(0.0))
 
 
 def with_relevance(hits: DataFrame) -> DataFrame:
@@ -153,9 +167,9 @@ def effective_sort(sort: str, query: Query) -> str:
 
 def sort_keys(sort: str) -> list[Column]:
     """A total order: the asked key, then the path by name, by code point, and the id."""
-    score = F.when(F.isnan("score") | (F.abs("score") == float("inf")), 0.0).otherwise(F.col("score")) if sort == "relevance" else None
+    finite = F.when(F.isnan("score") | (F.abs("score") == float("inf")), 0.0).otherwise(F.col("score")) if sort == "relevance" else None
     first = {
-        "relevance": lambda: [F.asc("quality"), score.desc()],
+        "relevance": lambda: [F.asc("quality"), finite.desc()],
         "created-desc": lambda: [F.desc("created_at")],
         "created-asc": lambda: [F.asc("created_at")],
         "modified-desc": lambda: [F.desc("modified_at")],
