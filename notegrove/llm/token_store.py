@@ -39,17 +39,24 @@ BLOCK = LANES * STEPS
 HASH_BITS = 20
 CONFIDENT = 7
 WEIGHT = 24
+#: Order-0 counts are halved above MOST; the spelling's share is LEAST / 2 ** 16 at least, so
+#: every id keeps an interval.
+MOST, LEAST = 1 << 23, 512
 _U = np.uint64
 TOP, BOTTOM = _U(1 << 48), _U(1 << 40)
 
 
 class _Model:
-    """Predictions of the next id, shared by the lanes of a block."""
+    """Predictions of the next id, shared by the lanes of a block.
+
+    A guess and its confidence share one entry: ``8 * id + confidence``.
+    """
 
     def __init__(self, vocabulary: int):
         self.counts = np.ones(vocabulary, np.int64)
-        self.guess1, self.sure1 = np.full(vocabulary, -1, np.int64), np.zeros(vocabulary, np.int64)
-        self.guess2, self.sure2 = np.full(1 << HASH_BITS, -1, np.int64), np.zeros(1 << HASH_BITS, np.int64)
+        self.total = vocabulary
+        self.first_order = np.full(vocabulary, -8, np.int32)
+        self.second_order = np.full(1 << HASH_BITS, -8, np.int32)
         self.outcomes = np.ones((2 * (CONFIDENT + 1) ** 2, 3), np.int64)
         self.cumulative = np.zeros(vocabulary + 1, np.int64)
 
@@ -58,32 +65,50 @@ class _Model:
         np.cumsum(self.counts, out=self.cumulative[1:])
         self.last = last
         self.slot = ((before * 0x9E3779B1 + last * 0x85EBCA6B) >> 7) & ((1 << HASH_BITS) - 1)
-        self.p1, self.c1 = self.guess1[last], self.sure1[last]
-        self.p2, self.c2 = self.guess2[self.slot], self.sure2[self.slot]
-        self.context = (self.c2 * (CONFIDENT + 1) + self.c1) * 2 + (self.p1 == self.p2)
+        self.e1, self.e2 = self.first_order[last], self.second_order[self.slot]
+        self.p1, self.p2 = self.e1 >> 3, self.e2 >> 3
+        self.context = ((self.e2 & 7) << 4) + ((self.e1 & 7) << 1) + (self.p1 == self.p2)
         share = (self.outcomes << 16) // self.outcomes.sum(axis=1, keepdims=True)
-        first = np.clip(share[:, 0], 1, (1 << 16) - 2)
-        second = np.clip(first + share[:, 1], first + 1, (1 << 16) - 1)
-        self.first, self.second = first[self.context], second[self.context]
+        first = np.clip(share[:, 0], 1, (1 << 16) - LEAST - 1)
+        second = np.clip(first + share[:, 1], first + 1, (1 << 16) - LEAST)
+        self.first, self.second = first[self.context] << 16, second[self.context] << 16
 
     def choose(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids == self.p2, 0, np.where(ids == self.p1, 1, 2))
 
-    def bounds(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = np.where(choice == 0, 0, np.where(choice == 1, self.first, self.second))
-        high = np.where(choice == 0, self.first, np.where(choice == 1, self.second, 1 << 16))
+    def bounds(self, ids: np.ndarray, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each id's interval, in parts of 2 ** 32."""
+        low = np.where(choice == 0, 0, self.first)
+        high = np.where(choice == 0, self.first, self.second)
+        spelt = np.flatnonzero(choice == 2)
+        base, x = self.second[spelt], ids[spelt]
+        room = (1 << 32) - base
+        low[spelt] = base + room * self.cumulative[x] // self.total
+        high[spelt] = base + room * self.cumulative[x + 1] // self.total
         return low, high - low
 
+    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Choice and id of the intervals that hold the values."""
+        choice = (v >= self.first).astype(np.int64) + (v >= self.second)
+        ids = np.where(choice == 0, self.p2, self.p1).astype(np.int64)
+        spelt = np.flatnonzero(choice == 2)
+        base = self.second[spelt]
+        most = ((v[spelt] - base + 1) * self.total - 1) // ((1 << 32) - base)
+        ids[spelt] = np.searchsorted(self.cumulative, most, side="right") - 1
+        return choice, ids
+
     def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
         self.outcomes += 4 * np.bincount(self.context * 3 + choice, minlength=self.outcomes.size).reshape(-1, 3)
         self.counts += WEIGHT * np.bincount(ids, minlength=len(self.counts))
-        for guess, sure, at, p, c in (
-            (self.guess1, self.sure1, self.last, self.p1, self.c1),
-            (self.guess2, self.sure2, self.slot, self.p2, self.c2),
-        ):
-            hit = p == ids
-            guess[at] = np.where(hit | (c > 0), p, ids)  # of lanes at one place, the last counts
-            sure[at] = np.where(hit, np.minimum(c + 1, CONFIDENT), c >> 1)
+        self.total += WEIGHT * len(ids)
+        if self.total > MOST:
+            self.counts = (self.counts + 1) >> 1
+            self.total = int(self.counts.sum())
+        fresh = (ids << 3).astype(np.int32)
+        for table, at, e, hit in ((self.first_order, self.last, self.e1, self.p1 == ids), (self.second_order, self.slot, self.e2, self.p2 == ids)):
+            sure = e & 7
+            kept = np.where(sure > 0, e - sure + (sure >> 1), fresh)
+            table[at] = np.where(hit, e + (sure < CONFIDENT), kept)  # of lanes at one place, the last counts
 
 
 def _spans(n: int) -> tuple[int, int]:
@@ -96,6 +121,24 @@ def _lengths(n: int, lanes: int, steps: int) -> np.ndarray:
     return np.clip(n - steps * np.arange(lanes), 0, steps)
 
 
+def _settle(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Lanes whose top word is settled; intervals too small are cut so that it is."""
+    same = (low ^ (low + span)) < TOP
+    tight = np.flatnonzero(~same & (span < BOTTOM))
+    if len(tight):
+        span[tight] = (~low[tight] + _U(1)) & (BOTTOM - _U(1))
+        same[tight] = True
+    return np.flatnonzero(same)
+
+
+def _shift(low: np.ndarray, span: np.ndarray, go: np.ndarray) -> np.ndarray:
+    """Drop the top word of some lanes; those of them that have another one settled."""
+    lo, sp = low[go] << _U(16), span[go] << _U(16)
+    again = _settle(lo, sp)
+    low[go], span[go] = lo, sp
+    return go[again]
+
+
 def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, bytes, bytes]:
     """``(lanes, lane lengths, words)`` of the coded ids."""
     n = len(ids)
@@ -108,23 +151,15 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, bytes, bytes]:
     model = _Model(vocabulary)
     out_lane, out_word = [], []
 
-    def put(rows, start, size, total) -> None:
-        r = span[rows] // total
-        lo, sp = low[rows] + start.astype(_U) * r, size.astype(_U) * r
-        at = np.arange(len(lo)) if isinstance(rows, slice) else rows
-        while True:
-            same = (lo ^ (lo + sp)) < TOP
-            tight = ~same & (sp < BOTTOM)
-            if tight.any():
-                sp[tight] = (~lo[tight] + _U(1)) & (BOTTOM - _U(1))
-            go = np.flatnonzero(same | tight)
-            if not len(go):
-                break
-            out_lane.append(at[go])
-            out_word.append((lo[go] >> _U(48)).astype(np.uint16))
-            lo[go] <<= _U(16)
-            sp[go] <<= _U(16)
-        low[rows], span[rows] = lo, sp
+    def put(n: int, start: np.ndarray, size: np.ndarray) -> None:
+        r = span[:n] >> _U(32)
+        low[:n] += start.astype(_U) * r
+        span[:n] = size.astype(_U) * r
+        go = _settle(low[:n], span[:n])
+        while len(go):
+            out_lane.append(go)
+            out_word.append((low[go] >> _U(48)).astype(np.uint16))
+            go = _shift(low, span, go)
 
     before, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for t in range(steps):
@@ -132,11 +167,7 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, bytes, bytes]:
         now = grid[:active, t]
         model.predict(last[:active], before[:active])
         choice = model.choose(now)
-        put(slice(0, active), *model.bounds(choice), _U(1 << 16))
-        spelt = np.flatnonzero(choice == 2)
-        if len(spelt):
-            x = now[spelt]
-            put(spelt, model.cumulative[x], model.counts[x], _U(int(model.cumulative[-1])))
+        put(active, *model.bounds(now, choice))
         model.learn(now, choice)
         before[:active], last[:active] = last[:active], now
     for k in (48, 32, 16, 0):
@@ -160,43 +191,24 @@ def decode_ids(n: int, lanes: int, sizes: bytes, data: bytes, vocabulary: int) -
         at += 1
     model = _Model(vocabulary)
 
-    def get(rows, total):
-        r = span[rows] // total
-        return r, np.minimum((code[rows] - low[rows]) // r, total - _U(1)).astype(np.int64)
-
-    def drop(rows, r, start, size) -> None:
-        lo, sp = low[rows] + start.astype(_U) * r, size.astype(_U) * r
-        co, here = code[rows], at[rows]
-        while True:
-            same = (lo ^ (lo + sp)) < TOP
-            tight = ~same & (sp < BOTTOM)
-            if tight.any():
-                sp[tight] = (~lo[tight] + _U(1)) & (BOTTOM - _U(1))
-            go = np.flatnonzero(same | tight)
-            if not len(go):
-                break
-            lo[go] <<= _U(16)
-            sp[go] <<= _U(16)
-            co[go] = (co[go] << _U(16)) | stream[here[go]]
-            here[go] += 1
-        low[rows], span[rows], code[rows], at[rows] = lo, sp, co, here
+    def drop(n: int, start: np.ndarray, size: np.ndarray) -> None:
+        r = span[:n] >> _U(32)
+        low[:n] += start.astype(_U) * r
+        span[:n] = size.astype(_U) * r
+        go = _settle(low[:n], span[:n])
+        while len(go):
+            code[go] = (code[go] << _U(16)) | stream[at[go]]
+            at[go] += 1
+            go = _shift(low, span, go)
 
     grid = np.zeros((lanes, steps), np.int64)
     before, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for t in range(steps):
         active = int(np.searchsorted(-lengths, -t, side="left"))
         model.predict(last[:active], before[:active])
-        rows = slice(0, active)
-        r, v = get(rows, _U(1 << 16))
-        choice = (v >= model.first).astype(np.int64) + (v >= model.second)
-        drop(rows, r, *model.bounds(choice))
-        now = np.where(choice == 0, model.p2, model.p1)
-        spelt = np.flatnonzero(choice == 2)
-        if len(spelt):
-            r, v = get(spelt, _U(int(model.cumulative[-1])))
-            x = np.searchsorted(model.cumulative, v, side="right") - 1
-            drop(spelt, r, model.cumulative[x], model.counts[x])
-            now[spelt] = x
+        v = (code[:active] - low[:active]) // (span[:active] >> _U(32))
+        choice, now = model.find(np.minimum(v, _U((1 << 32) - 1)).astype(np.int64))
+        drop(active, *model.bounds(now, choice))
         grid[:active, t] = now
         model.learn(now, choice)
         before[:active], last[:active] = last[:active], now
