@@ -29,9 +29,12 @@ ORDERS = (3, 4, 5, 6)
 PRIOR = 150
 #: Labelled rows that the model is fitted on, at most: toxic, and others.
 SAMPLE = (2000, 8000)
-EPOCHS = 8
+#: Passes over the sample, and steps at least.
+EPOCHS, STEPS = 8, 1200
+#: Texts of the sample that an n-gram must be in to get an embedding.
+MIN_TEXTS = 8
 BATCH = 32
-TABLE_RATE = 60.0
+TABLE_RATE = 150.0
 LAYER_RATE = 0.5
 
 
@@ -77,12 +80,20 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
     that many texts of a class share add up.
     """
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32)
+    bags = [bag(t) for t in texts]
+    texts_with = np.zeros(BUCKETS, np.int32)
+    for bucket, _ in bags:
+        texts_with[bucket] += 1
+    known = np.flatnonzero(texts_with >= MIN_TEXTS)
+    row = np.full(BUCKETS, -1, np.int32)
+    row[known] = np.arange(len(known))
+    bags = [(row[b][row[b] >= 0], s[row[b] >= 0]) for b, s in bags]
+    table = rng.normal(0, 0.05, (len(known), WIDTH)).astype(np.float32)
     layer = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    bags = [bag(t) for t in texts]
-    for epoch in range(EPOCHS if texts else 0):
-        rate = 1 - epoch / EPOCHS
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, len(texts))))
+    for epoch in range(epochs if len(known) else 0):
+        rate = 1 - epoch / epochs
         order = rng.permutation(len(texts))
         for a in range(0, len(order), BATCH):
             rows = order[a : a + BATCH]
@@ -90,19 +101,24 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
             share = np.concatenate([bags[i][1] for i in rows])
             sizes = np.array([len(bags[i][0]) for i in rows])
             doc = np.repeat(np.arange(len(rows)), sizes)
-            weighted = table[bucket] * share[:, None]
-            mean = np.stack([np.bincount(doc, weighted[:, k], len(rows)) for k in range(WIDTH)], axis=1)
+            mean = np.zeros((len(rows), WIDTH), np.float32)
+            some = np.flatnonzero(sizes)
+            if len(some):
+                starts = (np.cumsum(sizes) - sizes)[some]
+                mean[some] = np.add.reduceat(table[bucket] * share[:, None], starts, axis=0)
             logits = mean @ layer + bias
             logits -= logits.max(axis=1, keepdims=True)
             p = np.exp(logits)
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(rows)), labels[rows]] -= 1
-            pull = np.bincount(bucket, share * p[doc, 1], BUCKETS).astype(np.float32)
+            pull = np.bincount(bucket, share * p[doc, 1], len(known)).astype(np.float32)
             grad = (mean.T @ p).astype(np.float32)
-            table -= (rate * TABLE_RATE) * pull[:, None] * (layer[:, 1] - layer[:, 0])
+            table -= pull[:, None] * ((rate * TABLE_RATE) * (layer[:, 1] - layer[:, 0]))
             layer -= rate * LAYER_RATE * grad / len(rows)
             bias -= rate * LAYER_RATE * p.sum(axis=0).astype(np.float32) / len(rows)
-    return table @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[known] = table @ (layer[:, 1] - layer[:, 0])
+    return weights, float(bias[1] - bias[0])
 
 
 def score_texts(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
@@ -131,7 +147,8 @@ def train(labelled: DataFrame) -> tuple[bytes, float]:
         weights, bias = fit(texts, labels) if len(set(labels)) == 2 else (np.zeros(BUCKETS), 0.0)
         yield pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "bias": [bias]})
 
-    found = labelled.select("doc_id", "text", "label").coalesce(1).mapInPandas(run, "weights binary, bias double").collect()
+    # the scan stays parallel; only the sample meets in one task
+    found = labelled.select("doc_id", "text", "label").repartition(1).mapInPandas(run, "weights binary, bias double").collect()
     if not found:
         return np.zeros(BUCKETS, np.float32).tobytes(), 0.0
     return bytes(found[0]["weights"]), found[0]["bias"]
