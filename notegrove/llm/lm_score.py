@@ -194,7 +194,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, bytes]:
         parts = texts.mapInArrow(_train(named, model, round_), "model binary, places long")
         left = texts.rdd.getNumPartitions()
         while True:
-            left = -(-left // FAN_IN)
+            left = max(1, -(-left // FAN_IN))
             slot = F.pmod(F.spark_partition_id(), F.lit(left)).alias("slot")
             parts = parts.select("*", slot).groupBy("slot").applyInArrow(_average, "model binary, places long")
             if left == 1:
