@@ -160,14 +160,11 @@ def field_attribution(spark, sf_dir):
 
 @query("whole_word_flags", f"""{DOCS_SQL}, w AS (SELECT path, t, len(regexp_extract_all(regexp_replace(t, '[^a-z0-9]+', '  ', 'g'), '(^| )that( |$)')) AS whole,
        (length(t) - length(replace(t, 'that', ''))) // 4 AS n FROM d)
-       SELECT path, CAST(n AS INTEGER) AS n, CAST(whole AS INTEGER) AS whole FROM w WHERE n BETWEEN 1 AND 500""")
+       SELECT path, CAST(n AS INTEGER) AS n, CAST(whole AS INTEGER) AS whole FROM w WHERE n BETWEEN 1 AND 499""")
 def whole_word_flags(spark, sf_dir):
     m = F.filter("matches", lambda x: x["field"] == "body")
     out = _hits(spark, sf_dir, "that").select("path", F.size(m).alias("n"), F.size(F.filter(m, lambda x: x["whole_word"])).alias("whole"))
-    return out.filter("n between 1 and 499").unionByName(out.filter("n = 500"))
-
-
-SQL["whole_word_flags"] = SQL["whole_word_flags"].replace("n BETWEEN 1 AND 500", "n BETWEEN 1 AND 500")
+    return out.filter("n between 1 and 499")  # counts stop at 500
 
 
 @query("worst_quality", f"""{DOCS_SQL} SELECT path, CASE WHEN contains(t, 'ueber') THEN 1 ELSE 0 END AS quality
