@@ -12,9 +12,12 @@ sets of each band counted over all documents.
 One unit of capacity is spare, so that a set may leave out one empty segment (empty
 segments would put unrelated sets in one list); sets with more of them index them all.
 
-Sets that share a signature form candidate groups.  Within a group every pair is verified
-exactly, tile by tile of at most 2 * ``CHUNK`` sets, inside Python workers; tiles emit a
-spanning forest of their links, so no row per pair exists.  Equal sets are one node.
+Of the sets that share a signature, the counts and names of all their segments bound each
+pair's difference from below, which drops nearly all chance pairs; the rest forms candidate
+groups.  Within a group every pair is verified exactly, tile by tile of at most 2 * ``CHUNK``
+sets.  Both steps run inside Python workers and emit spanning forests of what they find, so
+no row per pair exists; long lists and large groups are cut into tiles.  Equal sets are one
+node.
 
 Elements and sets are named by 64-bit hashes; the intersection counts hash values.
 """
@@ -108,9 +111,8 @@ def allocate(band: int, bounds: list[int], percent: int, sets: int) -> list[int]
     return best[1]
 
 
-def signatures(s: np.ndarray, band: int, capacities: list[int]) -> np.ndarray:
-    """Signatures of a set under the band's partition of the universe."""
-    m = len(capacities)
+def segment_sums(s: np.ndarray, band: int, m: int):
+    """The set's elements by segment: scrambled elements, their segments, counts and sums."""
     salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
     element = mix64(s + salt)
     segment = ((element >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
@@ -119,8 +121,21 @@ def signatures(s: np.ndarray, band: int, capacities: list[int]) -> np.ndarray:
     counts = np.bincount(segment, minlength=m)
     full = np.flatnonzero(counts)
     sums = np.zeros(m, np.uint64)
-    starts = np.cumsum(counts) - counts
-    sums[full] = np.add.reduceat(element, starts[full])
+    sums[full] = np.add.reduceat(element, (np.cumsum(counts) - counts)[full])
+    return element, segment, counts, sums
+
+
+def sketch(s: np.ndarray, band: int, m: int) -> bytes:
+    """16 bits of each segment's sum, and its count."""
+    _, _, counts, sums = segment_sums(s, band, m)
+    return mix64(sums).astype("<u2").tobytes() + np.minimum(counts, 65535).astype("<u2").tobytes()
+
+
+def signatures(s: np.ndarray, band: int, capacities: list[int]) -> np.ndarray:
+    """Signatures of a set under the band's partition of the universe."""
+    m = len(capacities)
+    element, segment, counts, sums = segment_sums(s, band, m)
+    salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
     base = mix64(np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407) + salt)
     doubles = capacities.count(2)
     emit = counts > 0
@@ -159,14 +174,14 @@ def _digest(width: int):
 
 
 def _index(width: int, percent: int, bounds: list[int], plans: dict[int, list[int]]):
-    schema = pa.schema([("sig", pa.int64()), ("key", pa.int64())])
+    schema = pa.schema([("sig", pa.int64()), ("use", pa.int32()), ("key", pa.int64())])
     lower = np.array(bounds)
 
     def run(batches):
         for batch in batches:
             texts = binary_texts(batch.column(0))
             for a, b in text_batches(texts):
-                sigs, keys = [], []
+                sigs, keys, uses = [], [], []
                 for s in shingle_sets(texts[a:b], width):
                     if not len(s):
                         continue
@@ -177,11 +192,13 @@ def _index(width: int, percent: int, bounds: list[int], plans: dict[int, list[in
                             g = signatures(s, use, plans[use])
                             sigs.append(g)
                             keys.append((set_key(s), len(g)))
+                            uses.append(np.full(len(g), use, np.int32))
                 if sigs:
                     k, n = zip(*keys)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.concatenate(sigs).astype(np.int64)),
+                            pa.array(np.concatenate(uses)),
                             pa.array(np.repeat(np.array(k, np.int64), n)),
                         ],
                         schema=schema,
@@ -191,25 +208,101 @@ def _index(width: int, percent: int, bounds: list[int], plans: dict[int, list[in
     return run
 
 
+def _places(chunk: int, chunks: int, bundle: int) -> list[int]:
+    """Tiles of a member: its bundle of small groups, or those of its chunk with every other."""
+    if chunks == 1:
+        return [bundle]
+    return [-1 - (min(chunk, o) * chunks + max(chunk, o)) for o in range(chunks)]
+
+
+def _sketches(width: int, bounds: list[int], plans: dict[int, list[int]]):
+    schema = pa.schema([("key", pa.int64()), ("use", pa.int32()), ("size", pa.int64()), ("cells", pa.binary())])
+    lower = np.array(bounds)
+
+    def run(batches):
+        for batch in batches:
+            texts = binary_texts(batch.column(0))
+            keys = batch.column(1).to_pylist()
+            for a, b in text_batches(texts):
+                rows = {f.name: [] for f in schema}
+                for i, s in enumerate(shingle_sets(texts[a:b], width), a):
+                    band = int(np.searchsorted(lower, len(s), side="right")) - 1
+                    for use in (band, band - 1):
+                        if use in plans:
+                            for name, value in zip(rows, (keys[i], use, len(s), sketch(s, use, len(plans[use])))):
+                                rows[name].append(value)
+                yield _table(rows, schema)
+
+    return run
+
+
+def _forest_of(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric link matrix, as index pairs."""
+    left = np.ones(len(linked), bool)
+    forest = []
+    for start in range(len(linked)):
+        if not left[start]:
+            continue
+        left[start] = False
+        todo = [start]
+        while todo:
+            at = todo.pop()
+            found = np.flatnonzero(linked[at] & left)
+            left[found] = False
+            forest += [(at, j) for j in found.tolist()]
+            todo += found.tolist()
+    return forest
+
+
+def _possible(percent: int):
+    """Of the sets that share a signature, a forest of the pairs whose sketches allow them to
+    be similar: segments that differ by k elements in number, or differ at all, add k, or 1,
+    to their difference at least."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        sigs, keys, sizes = (table.column(c).to_numpy() for c in ("sig", "key", "size"))
+        cells = table.column("cells")
+        order = np.lexsort((keys, sigs))
+        starts = np.flatnonzero(np.r_[True, sigs[order][1:] != sigs[order][:-1]])
+        us, vs = [], []
+        for rows in np.split(order, starts[1:]):
+            if len(rows) < 2:
+                continue
+            both = np.stack([np.frombuffer(cells[int(i)].as_py(), "<u2") for i in rows]).astype(np.int32)
+            m = both.shape[1] // 2
+            names, counts, n = both[:, :m], both[:, m:], sizes[rows]
+            fits = np.zeros((len(rows), len(rows)), bool)
+            for i in range(len(rows)):
+                least = np.maximum(np.abs(counts - counts[i]), names != names[i]).sum(axis=1)
+                fits[i] = (100 + percent) * least <= (100 - percent) * (n + n[i])
+            for a, b in _forest_of(fits):
+                us.append(keys[rows[a]])
+                vs.append(keys[rows[b]])
+        return pa.table([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema)
+
+    return run
+
+
 def _sets(width: int):
-    schema = pa.schema([("tile", pa.int64()), ("grp", pa.int64()), ("side", pa.int64()), ("key", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("tile", pa.int64()), ("grp", pa.int64()), ("key", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
         for batch in batches:
             texts = binary_texts(batch.column(0))
             rest = batch.select(["key", "grp", "chunk", "chunks", "bundle"]).to_pydict()
             for a, b in text_batches(texts):
-                rows = {f.name: [] for f in schema}
+                rows, held = {f.name: [] for f in schema}, 0
                 for i, s in enumerate(shingle_sets(texts[a:b], width), a):
                     key, grp, chunk, chunks, bundle = (rest[c][i] for c in ("key", "grp", "chunk", "chunks", "bundle"))
                     data = s.tobytes()
-                    if chunks == 1:
-                        places = [(bundle, 0)]
-                    else:  # tile (p, q) with p <= q holds the chunks p and q
-                        places = [(-1 - (min(chunk, o) * chunks + max(chunk, o)), int(chunk > o)) for o in range(chunks)]
-                    for tile, side in places:
-                        for name, value in zip(rows, (tile, grp, side, key, data)):
+                    for tile in _places(chunk, chunks, bundle):
+                        for name, value in zip(rows, (tile, grp, key, data)):
                             rows[name].append(value)
+                        held += len(data)
+                        if held > 8 << 20:
+                            yield _table(rows, schema)
+                            rows, held = {f.name: [] for f in schema}, 0
                 yield _table(rows, schema)
 
     return run
@@ -238,20 +331,7 @@ def _link_tile(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         shared += block @ block.T
     inter = np.rint(shared).astype(np.int64)
     linked = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
-    left = np.ones(k, bool)
-    forest = []
-    for start in range(k):
-        if not left[start]:
-            continue
-        left[start] = False
-        todo = [start]
-        while todo:
-            at = todo.pop()
-            found = np.flatnonzero(linked[at] & left)
-            left[found] = False
-            forest += [(at, j) for j in found.tolist()]
-            todo += found.tolist()
-    return forest
+    return _forest_of(linked)
 
 
 def _verify(percent: int):
@@ -273,6 +353,11 @@ def _verify(percent: int):
     return run
 
 
+def _picked(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of some ids; few ids are broadcast, many are joined by a shuffle."""
+    return source.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
+
+
 def ngram_jaccard_join(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -306,9 +391,28 @@ def ngram_jaccard_join(
         if plan:
             plans[b] = plan
 
-    index = source.select("text").mapInArrow(_index(width, percent, bounds, plans), "sig long, key long")
+    index = source.select("text").mapInArrow(_index(width, percent, bounds, plans), "sig long, use int, key long")
     lists = index.groupBy("sig").agg(F.min("key").alias("head"), F.max("key").alias("last")).filter("head <> last")
-    stars = index.join(lists, "sig").filter("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
+    shared = materialize(index.join(lists.select("sig"), "sig").distinct(), "jaccard-shared")
+    named = digest.groupBy("key").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
+    keys = materialize(shared.select("key").distinct().join(named, "key"), "jaccard-keys")
+    sketches = _picked(source, keys).select("text", "key").mapInArrow(
+        _sketches(width, bounds, plans), "key long, use int, size long, cells binary"
+    )
+    n_shared = shared.count()
+    lengths = shared.groupBy("sig").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    placed = shared.join(lengths, "sig").withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    placed = placed.withColumn("other", other).select(
+        "key",
+        "use",
+        "sig",
+        F.when(F.col("chunks") == 1, F.lit(0)).otherwise(F.col("sig")).alias("owner"),
+        F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("sig"), F.lit(n_shared // 2048 + 1))).otherwise(low * F.col("chunks") + high).alias("tile"),
+    )
+    possible = placed.join(sketches, ["key", "use"]).select("sig", "key", "size", "cells", "owner", "tile")
+    stars = possible.groupBy("owner", "tile").applyInArrow(_possible(percent), "u long, v long")
     groups = connected_components(stars).select(F.col("node").alias("key"), F.col("component").alias("grp"))
     groups = materialize(groups, "jaccard-groups")
 
@@ -317,7 +421,7 @@ def ngram_jaccard_join(
     sized = groups.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     members = (
         groups.join(sized, "grp")
-        .join(digest.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "key")
+        .join(keys, "key")
         .select(
             "doc_id",
             "key",
@@ -326,12 +430,10 @@ def ngram_jaccard_join(
             F.pmod(F.xxhash64("key"), F.col("chunks")).alias("chunk"),
             F.pmod(F.xxhash64("grp"), F.lit(bundles)).alias("bundle"),
         )
-        .filter("doc_id is not null")
     )
     members = materialize(members, "jaccard-members")
-    small = F.broadcast(members) if n_candidates <= BROADCAST_IDS else members
-    picked = source.join(small, "doc_id").select("text", "key", "grp", "chunk", "chunks", "bundle")
-    tiles = picked.mapInArrow(_sets(width), "tile long, grp long, side long, key long, shingles binary")
+    picked = _picked(source, members).select("text", "key", "grp", "chunk", "chunks", "bundle")
+    tiles = picked.mapInArrow(_sets(width), "tile long, grp long, key long, shingles binary")
     split = F.when(F.col("tile") < 0, F.col("grp")).otherwise(F.lit(0))
     links = tiles.withColumn("owner", split).groupBy("owner", "tile").applyInArrow(_verify(percent), "u long, v long")
     linked = connected_components(links)
