@@ -1,10 +1,15 @@
 """Masked pseudo-likelihood of whole texts under a bidirectional window network.
 
-Tokens are words: the most frequent of the corpus by name, all others in buckets of their
-hash.  The network sees the two words on either side of a place: their embeddings, one
-after the other, a tanh layer, and a softmax in two levels (the class of the word, then the
-word within it).  A text's score is the sum over all its words of the logarithm of the
-probability that the network gives the word when it is masked.
+Tokens are words, and the vocabulary is every word of the corpus.  The network names the
+most frequent and sees all others by the bucket of their hash.  It looks at the two words on
+either side of a place: their embeddings, one after the other, a tanh layer, and a softmax
+in two levels (the class of the word, then the word or bucket within it).  Below a bucket
+stands a third level, its words by their share of the bucket's count in the corpus.  A
+text's score is the sum over all its words of the logarithm of the probability of the word
+itself when it is masked.
+
+The counts of all words stay a distributed table.  For scoring, texts are coded in pieces:
+a piece's distinct words are joined with the counts, and its texts refer to them by number.
 
 Word counts cover all documents.  Training covers all documents, too: in each round every
 place is masked with the chance ``MASKED``, drawn from its text, every partition trains from
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, mix64, text_batches, word_hashes
+from .common import binary_texts, materialize, mix64, text_batches, word_hashes
 
 CLASSES, PER_CLASS = 32, 32
 BUCKETS = 64
@@ -27,6 +32,8 @@ NAMED = CLASSES * PER_CLASS - BUCKETS
 WIDTH, HIDDEN, SIDE = 16, 32, 2
 MASKED, ROUNDS, BATCH, RATE = 0.15, 2, 512, 0.1
 FAN_IN = 32
+#: Bytes of text in a piece that is scored with a table of its words.
+PIECE = 16 << 20
 SHAPES = [
     (NAMED + BUCKETS + 1, WIDTH),
     (2 * SIDE * WIDTH, HIDDEN),
@@ -183,11 +190,22 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([mean], pa.binary()), pa.array([int(places.sum())], pa.int64())], names=["model", "places"])
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, bytes]:
-    """Names of the words, by rank, and the trained weights."""
+def _bucket(word):
+    """The bucket of a word's hash, as in :meth:`Words.ids`."""
+    return F.pmod(F.shiftrightunsigned(word, 40), F.lit(BUCKETS))
+
+
+def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word, n``: the hash of every word of the corpus and how often it occurs."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     counted = texts.mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(NAMED).collect()  # bounded: NAMED rows
+    return materialize(counted, "lm-words")
+
+
+def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text") -> tuple[np.ndarray, bytes]:
+    """Names of the words, by rank, and the trained weights."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    top = counts.orderBy(F.desc("n"), "word").limit(NAMED).collect()  # bounded: NAMED rows
     named = np.array([r["word"] for r in top], np.int64).astype(np.uint64)
     model = pack(start_weights())
     for round_ in range(ROUNDS):
@@ -204,12 +222,31 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, bytes]:
     return named, model
 
 
-def score(docs: DataFrame, named: np.ndarray, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, log_prob, mean_log_prob`` for every row."""
-    names = ["doc_id", "n_words", "log_prob"]
+def _code(named: np.ndarray, model: bytes):
+    """Texts with what the network gives them and the numbers of their other words in the
+    piece; after them, in a row of its own, the distinct other words of the piece, sorted."""
+    names = ["piece", "doc_id", "n_words", "head", "tail", "words"]
 
     def run(batches):
+        from pyspark import TaskContext
+
         words, w = Words(named), unpack(model)
+        piece = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+
+        def close():
+            distinct, number = np.unique(np.concatenate([h[-1] for h in held]), return_inverse=True)
+            number, at = number.reshape(-1).astype("<i4"), 0
+            for ids, n_words, head, bounds, hashes in held:
+                tails = [number[at + x : at + y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
+                at += len(hashes)
+                n = len(n_words)
+                columns = [pa.array([piece] * n, pa.int64()), ids, pa.array(n_words), pa.array(head), pa.array(tails, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.list_(pa.int64()))], names=names)
+            columns = [pa.array([piece], pa.int64()), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.binary()))]
+            lists = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), pa.array(distinct.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*columns, lists], names=names)
+
         for batch in batches:
             texts = binary_texts(batch.column(1))
             for a, b in text_batches(texts):
@@ -220,13 +257,47 @@ def score(docs: DataFrame, named: np.ndarray, model: bytes, id_col: str = "doc_i
                 for k in range(0, len(ids), 1 << 14):
                     logs[k : k + (1 << 14)][: len(ids) - k] = log_probabilities(w, around[k : k + (1 << 14)], ids[k : k + (1 << 14)])
                 total = np.concatenate([[0.0], np.cumsum(logs)])
-                sums = total[bounds[1:]] - total[bounds[:-1]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(sums)], names=names
-                )
+                other = ids >= NAMED
+                before = np.concatenate([[0], np.cumsum(other)])
+                held.append((batch.column(0).slice(a, b - a), np.diff(bounds), total[bounds[1:]] - total[bounds[:-1]], before[bounds], hashes[other]))
+                size += sum(map(len, texts[a:b]))
+                if size >= PIECE:
+                    yield from close()
+                    piece, held, size = piece + 1, [], 0
+        if held:
+            yield from close()
+
+    return run
+
+
+def _add_shares(of_bucket: np.ndarray):
+    """Adds to each text of a piece the log-shares of its other words in their buckets."""
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        word = words.column("word").to_numpy()
+        n = words.column("n").to_numpy()[np.argsort(word.astype(np.uint64))]
+        word = np.sort(word.astype(np.uint64))
+        shares = np.log(n / of_bucket[(word >> np.uint64(40)).astype(np.int64) % BUCKETS])
+        sums = [shares[np.frombuffer(t.as_py(), "<i4")].sum() for t in texts.column("tail")]
+        total = texts.column("head").to_numpy() + np.array(sums, np.float64)
+        return pa.table([texts.column("doc_id"), texts.column("n_words"), pa.array(total)], names=["doc_id", "n_words", "log_prob"])
+
+    return run
+
 
+def score(docs: DataFrame, counts: DataFrame, named: np.ndarray, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_words, log_prob, mean_log_prob`` for every row; ``counts`` has all words of ``docs``."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = given.mapInArrow(run, "doc_id long, n_words long, log_prob double")
+    coded = given.mapInArrow(_code(named, model), "piece long, doc_id long, n_words long, head double, tail binary, words array<long>")
+    coded = materialize(coded, "lm-coded")  # the numbers hold for this division into pieces only
+    # bounded: BUCKETS rows
+    sums = counts.filter(~F.col("word").isin([int(x) for x in named.astype(np.int64)])).groupBy(_bucket(F.col("word")).alias("b")).agg(F.sum("n").alias("n"))
+    of_bucket = np.zeros(BUCKETS)
+    for r in sums.collect():
+        of_bucket[r["b"]] = r["n"]
+    words = coded.filter("words is not null").select(F.col("piece").alias("of"), F.explode("words").alias("word")).join(counts, "word").select("of", "word", "n")
+    texts = coded.filter("words is null").drop("words")
+    out = texts.groupBy("piece").cogroup(words.groupBy("of")).applyInArrow(_add_shares(of_bucket), "doc_id long, n_words long, log_prob double")
     return out.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
 
 
@@ -236,4 +307,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and blank texts have 0 words, the log-probability 0 and no mean.  Repeated
     rows count and are scored each; a null doc_id stays null.  An empty table is not scored.
     """
-    return score(docs, *fit(docs, text_col), id_col, text_col)
+    counts = count_words(docs, text_col)
+    return score(docs, counts, *fit(docs, counts, text_col), id_col, text_col)
