@@ -222,7 +222,7 @@ def top_k(spark, sf_dir):
        SELECT path, round(1 + 0.4 * greatest(0.0, 1 - width / 400.0), 6) AS factor FROM p""")
 def proximity_two_terms(spark, sf_dir):
     q = parse("lichkeit heitung")
-    hits = SearchEngine(corpus.documents(spark, sf_dir).filter(F.length("text") < 20000)).hits(q)
+    hits = engine(spark, sf_dir).hits(q)
     return hits.select("path", F.round(ranking.proximity_factor(F.col("matches"), q, Weights()), 6).alias("factor"))
 
 
