@@ -33,3 +33,11 @@ def test_proximity_in_long_documents(spark, tmp_path):
             expected[f"src1/en/doc-{i}.md"] = pytest.approx(1 + 0.4 * max(0.0, 1 - min(widths) / 400), abs=1e-6)
     assert len(out) == len(expected) == 3
     assert {r.path: r.factor for r in out} == expected
+
+
+def test_whole_word_flags_of_many_hits(spark, tmp_path):
+    texts = ["that " * n for n in (1, 499, 500, 700)] + ["thatched " * 450 + "that " * 100, "none"]
+    out = queries.QUERIES["whole_word_flags"](spark, tables(spark, tmp_path, texts)).collect()
+    found = {int(r.path.split("-")[1][:-3]): (r.n, r.whole) for r in out}
+    # the first 500 occurrences count
+    assert found == {0: (1, 1), 1: (499, 499), 2: (500, 500), 3: (500, 500), 4: (500, 50)}
