@@ -11,9 +11,9 @@ itself when it is masked.
 The counts of all words stay a distributed table.  For scoring, texts are coded in pieces:
 a piece's distinct words are joined with the counts, and its texts refer to them by number.
 
-Word counts cover all documents.  Training covers all documents, too: in each round every
-place is masked with the chance ``MASKED``, drawn from its text, every partition trains from
-the same start on its masked places in numpy, and the weights are averaged by the number of
+Word counts cover all documents.  Training covers every place of all documents, too: a
+place's draw masks it in one of the rounds.  In each round every partition trains from the
+same start on its masked places in numpy, and the weights are averaged by the number of
 places in a reduction tree on the executors.
 """
 
@@ -30,7 +30,7 @@ CLASSES, PER_CLASS = 32, 32
 BUCKETS = 64
 NAMED = CLASSES * PER_CLASS - BUCKETS
 WIDTH, HIDDEN, SIDE = 16, 32, 2
-MASKED, ROUNDS, BATCH, RATE = 0.15, 2, 512, 0.1
+ROUNDS, BATCH, RATE = 2, 512, 0.1
 FAN_IN = 32
 #: Bytes of text in a piece that is scored with a table of its words.
 PIECE = 16 << 20
@@ -158,21 +158,23 @@ def _counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(n)], names=["word", "n"])
 
 
+def masked_rounds(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The one round in which each place is masked, drawn from its word and its place in the text."""
+    at = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
+    return mix64(mix64(at.astype(np.uint64)) + hashes) % np.uint64(ROUNDS)
+
+
 def _train(named: np.ndarray, model: bytes, round_: int):
     def run(batches):
         words, w = Words(named), unpack(model)
         state = [np.zeros_like(x) for x in w]
         places = 0
-        salt = np.uint64(round_ * 0x9E3779B97F4A7C15 & (2**64 - 1))
         for batch in batches:
             texts = binary_texts(batch.column(0))
             for a, b in text_batches(texts):
                 hashes, bounds = word_hashes(texts[a:b])
                 ids = words.ids(hashes)
-                # a place's draw depends on its word and on its place in the text
-                at = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
-                draw = mix64(mix64(at.astype(np.uint64) + salt) + hashes)
-                chosen = np.flatnonzero(draw < np.uint64(int(MASKED * 2**64)))
+                chosen = np.flatnonzero(masked_rounds(hashes, bounds) == round_)
                 train_places(w, state, windows(ids, bounds)[chosen], ids[chosen])
                 places += len(chosen)
         if places:

@@ -47,3 +47,18 @@ def test_shares_of_a_bucket_add_up(spark, monkeypatch):
     w = lm_score.unpack(model)
     missing = sum(np.exp(lm_score.log_probabilities(w, around, np.array([i]))[0]) for i in empty)
     assert abs(sum(np.exp(out[i]) for i in range(1200)) + missing - 1) < 1e-3
+
+
+def test_training_takes_every_place_once(spark, monkeypatch):
+    rows = [(i, f"only{i}") for i in range(50)] + [(50, "a b c a b c"), (51, None), (52, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    batches = frame.select("text").toArrow().to_batches()
+    trained = []
+    monkeypatch.setattr(lm_score, "train_places", lambda w, state, around, ids: trained.append(len(ids)))
+    model = lm_score.pack(lm_score.start_weights())
+    for k in range(lm_score.ROUNDS):
+        list(lm_score._train(np.zeros(0, np.uint64), model, k)(iter(batches)))
+    assert sum(trained) == 56
+    hashes, bounds = word_hashes([(t or "").encode() for _, t in rows])
+    drawn = lm_score.masked_rounds(hashes, bounds)
+    assert drawn.max() < lm_score.ROUNDS and len(set(drawn.tolist())) == lm_score.ROUNDS
