@@ -25,6 +25,32 @@ def within(word: str, term: str, most: int) -> bool:
     return bool(word) and abs(len(word) - len(term)) <= most and osa(word, term) <= most
 
 
+def within_native(word: Column, term: str, most: int) -> Column:
+    """The same test in plain column expressions, for words inside arrays.
+
+    Besides plain edits, an alignment may transpose neighbours; what lies before the first
+    transposition takes plain edits only, what lies behind it any.
+    """
+
+    def aligned(w: Column, t: str, k: int) -> Column:
+        near = F.levenshtein(w, F.lit(t), k) >= 0
+        for i in range(len(t) - 1 if k else 0):
+            front, pair, rest = t[:i], t[i + 1] + t[i], t[i + 2 :]
+            if pair[0] == pair[1]:
+                continue
+            for a in range(k):  # edits in front
+                for d in range(max(-a, -i), a + 1):  # how much longer the front is in the word
+                    at = i + d
+                    here = F.substring(w, at + 1, 2) == pair
+                    before = F.substring(w, 1, at) if at else F.lit("")
+                    behind = F.substring(w, at + 3, 1 << 30)
+                    here &= (before == front) if a == 0 else F.levenshtein(before, F.lit(front), a) >= 0
+                    near |= here & (aligned(behind, rest, k - 1 - a) if k - 1 - a else behind == rest)
+        return near
+
+    return (word != "") & (F.abs(F.length(word) - len(term)) <= most) & aligned(word, term, most)
+
+
 def within_column(word: Column, term: str, most: int) -> Column:
     """Whether a word is within ``most`` edits of ``term``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Tuning
-from ..functions.distance import within_column
+from ..functions.distance import within_column, within_native
 from ..functions.fold import words_column
 from ..plans.query import Query, Term
 from .matches import _run_is_tag, field_at, original, word_matches
@@ -51,7 +51,7 @@ class FuzzyPlan:
         known = self.words[term.normalized]
         if known is None:
             most = distance(term, self.tuning)
-            return F.filter(words, lambda w: F.levenshtein(w, F.lit(term.normalized), most) >= 0)
+            return F.filter(words, lambda w: within_native(w, term.normalized, most))
         if not known:
             return F.array().cast("array<string>")
         return F.filter(words, lambda w: w.isin(*known))
