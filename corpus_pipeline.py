@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.3; learned from the labels of the documents given."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     chosen = F.broadcast(toxicity.sample_labels(labels, "toxic"))  # bounded by its parameter
-    weights, bias = toxicity.train(docs.select("doc_id", "text").join(chosen, "doc_id"))
+    weights, bias = toxicity.train(docs.select("doc_id", "text").join(chosen, "doc_id"), toxicity.sample_shift(labels, "toxic"))
     return toxicity.score(docs.select(COLUMNS), weights, bias).filter("score < 0.3").select(COLUMNS)
 
 

@@ -8,7 +8,7 @@ probabilities.  Table and layer are trained jointly in numpy by minibatch gradie
 inflected words share most n-grams with words seen in training.
 
 Only the fit uses a sample, of at most ``SAMPLE`` labelled rows of each class, those whose
-ids hash lowest.  For scoring, the trained table folds into one weight a bucket,
+ids hash lowest; the bias is corrected for the share of each class taken.  For scoring, the trained table folds into one weight a bucket,
 as the network is linear up to the softmax.
 """
 
@@ -133,10 +133,11 @@ def score_texts(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndar
     return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def train(labelled: DataFrame) -> tuple[bytes, float]:
-    """Fit on ``labelled(doc_id, text, label)`` in one executor task.
+def train(labelled: DataFrame, shift: float = 0.0) -> tuple[bytes, float]:
+    """Fit on ``labelled(doc_id, text, label)`` in one executor task; ``shift`` is added to
+    the bias of class 1.
 
-    Without rows of both labels the model is constant.
+    Without rows of both labels the model is constant, and not shifted.
     """
 
     def run(frames):
@@ -144,8 +145,8 @@ def train(labelled: DataFrame) -> tuple[bytes, float]:
         pdf = pd.concat(rows).sort_values(["label", "doc_id"]) if rows else pd.DataFrame({"label": [], "text": []})
         texts = [(t or "").encode() for t in pdf["text"]]
         labels = pdf["label"].to_numpy(dtype=np.int64)
-        weights, bias = fit(texts, labels) if len(set(labels)) == 2 else (np.zeros(BUCKETS), 0.0)
-        yield pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "bias": [bias]})
+        weights, bias = fit(texts, labels) if len(set(labels)) == 2 else (np.zeros(BUCKETS), -shift)
+        yield pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "bias": [bias + shift]})
 
     # the scan stays parallel; only the sample meets in one task
     found = labelled.select("doc_id", "text", "label").repartition(1).mapInPandas(run, "weights binary, bias double").collect()
@@ -176,11 +177,27 @@ def score(docs: DataFrame, weights: bytes, bias: float, text_col: str = "text")
     return given.mapInArrow(run, schema)
 
 
+def eligible_labels(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
+    """``(doc_id, label)`` of the labels 0 and 1, one of each id."""
+    rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    return rows.filter("doc_id is not null and label in (0, 1)").dropDuplicates(["doc_id"])
+
+
+def sample_shift(labels: DataFrame, label_col: str, id_col: str = "doc_id", sample: tuple[int, int] = SAMPLE) -> float:
+    """What the log-odds of class 1 lack by the bounds of :func:`sample_labels`, which take
+    another share of one class than of the other; 0 where no bound acts."""
+    found = eligible_labels(labels, label_col, id_col).groupBy("label").agg(F.count("*").alias("n")).collect()  # two rows
+    n = {r["label"]: r["n"] for r in found}
+    if any(not n.get(k) or most < 1 for k, most in zip((1, 0), sample)):
+        return 0.0
+    over = [n[k] / min(n[k], most) for k, most in zip((1, 0), sample)]
+    return float(np.log(over[0] / over[1]))
+
+
 def sample_labels(labels: DataFrame, label_col: str, id_col: str = "doc_id", sample: tuple[int, int] = SAMPLE) -> DataFrame:
     """``(doc_id, label)``: at most ``sample[0]`` ids of label 1 and ``sample[1]`` of label 0,
     those that hash lowest."""
-    rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    rows = rows.filter("doc_id is not null and label in (0, 1)").dropDuplicates(["doc_id"])
+    rows = eligible_labels(labels, label_col, id_col)
     parts = [
         rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         for k, n in zip((1, 0), sample)
@@ -198,8 +215,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
     # bounded: at most sum(sample) rows
-    chosen = F.broadcast(sample_labels(labels.filter(~fold), "toxic", sample=sample))
-    weights, bias = train(docs.select("doc_id", "text").join(chosen, "doc_id"))
+    given = labels.filter(~fold)
+    chosen = F.broadcast(sample_labels(given, "toxic", sample=sample))
+    weights, bias = train(docs.select("doc_id", "text").join(chosen, "doc_id"), sample_shift(given, "toxic", sample=sample))
     scored = score(docs.select("doc_id", "text"), weights, bias)
     return scored.select(
         "doc_id",
