@@ -1,8 +1,8 @@
 """Packing documents into sequences: first-fit decreasing in randomised groups.
 
 A document's ids, with an end id, are cut at multiples of the sequence length.  Full pieces
-are sequences already.  The last, shorter pieces are dealt at random to groups of about
-``GROUP`` documents and packed there by first-fit decreasing; a tournament tree over the
+are sequences already and go no further.  The last, shorter pieces are dealt at random to
+groups of about ``GROUP`` and packed there by first-fit decreasing; a tournament tree over the
 room left in the bins finds the first bin that fits in logarithmic time.  A group's last
 bins have room left: of those with more than ``SLACK`` of it, the pieces are laid end to end
 and cut at the sequence length instead, and the final rest is cut at powers of two, which
@@ -13,12 +13,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .tokens import encoder
 
 GROUP = 4096
+#: Texts encoded at once, and the first number of the sequences that are one full piece.
+TEXTS, FULL = 500, 1 << 62
 SLACK = 1 / 128
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -89,20 +93,35 @@ def refill(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> list[tuple[i
 
 
 def _pieces(tokenizer: str, end_id: int, capacity: int, dtype: str, names: list[str]):
+    width = np.dtype(dtype).itemsize
+
     def run(batches):
-        encode = encoder(tokenizer, dtype).encode
-        end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
+        encode, full = encoder(tokenizer).encode, FULL + (TaskContext.get().partitionId() << 36)
         for batch in batches:
-            ids, draws = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for a in range(0, len(ids), 500):
-                rows: list[tuple] = []
-                for k, data in enumerate(encode(batch.column(1).slice(a, 500).to_pylist()), a):
-                    data += end
-                    n = len(data) // width
-                    for s in range(0, n, capacity):
-                        rows.append((ids[k], s, n, draws[k], data[width * s : width * (s + capacity)]))
-                kinds = [pa.int64()] * 4 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+            for a in range(0, len(batch), TEXTS):
+                part = batch.slice(a, TEXTS)
+                ids, ends = encode(part.column(1).to_pylist(), end_id)
+                tokens = np.diff(ends, prepend=0)
+                pieces = -(-tokens // capacity)
+                doc = np.repeat(np.arange(len(part)), pieces)
+                start = capacity * (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                length = np.minimum(tokens[doc] - start, capacity)
+                whole = length == capacity
+                offsets = width * np.append(0, np.cumsum(length))
+                number = full + np.cumsum(whole) - 1
+                full += int(whole.sum())
+                data = pa.py_buffer(ids.astype(dtype).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(doc)),
+                        pa.array(start),
+                        pa.array(tokens[doc]),
+                        part.column(2).take(pa.array(doc)),
+                        pa.array(number, mask=~whole),
+                        pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(offsets.astype("<i8").tobytes()), data]).cast(pa.binary()),
+                    ],
+                    names=names,
+                )
 
     return run
 
@@ -112,19 +131,15 @@ def _pack(capacity: int, dtype: str):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.drop_columns(["ids"]).to_pydict()
-        column = table.column("ids")
-        lengths = np.array([len(d) for d in column.to_pylist()], np.int64) // np.dtype(dtype).itemsize
+        pieces = [np.frombuffer(d, dtype) for d in table.column("ids").to_pylist()]
+        lengths = np.array([len(x) for x in pieces], np.int64)
         order = np.lexsort((rows["start"], [i or 0 for i in rows["doc_id"]], rows["draw"]))
-        short = order[lengths[order] < capacity]
-        bins = first_fit_decreasing(lengths[short], capacity)
-        places = [(int(short[i]), *rest) for i, *rest in refill(lengths[short], bins, capacity)]
-        next_bin = max((p[3] for p in places), default=-1) + 1
-        full = order[lengths[order] == capacity].tolist()
-        places += [(i, 0, capacity, next_bin + k, 0) for k, i in enumerate(full)]
+        bins = first_fit_decreasing(lengths[order], capacity)
         base = rows["grp"][0] << 32
         out = []
-        for i, start, n, b, offset in places:
-            ids = np.frombuffer(column[i].as_py(), dtype)[start : start + n].astype("<u4").tobytes()
+        for k, start, n, b, offset in refill(lengths[order], bins, capacity):
+            i = int(order[k])
+            ids = pieces[i][start : start + n].tobytes()
             out.append((rows["doc_id"][i], rows["start"][i] + start, n, rows["doc_tokens"][i], base + b, offset, ids))
         kinds = [pa.int64()] * 6 + [pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
@@ -132,6 +147,18 @@ def _pack(capacity: int, dtype: str):
     return run
 
 
+def _wide(dtype: str):
+    """The ids of a batch's last column as unsigned little-endian 32-bit integers."""
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1).to_pylist()
+            ids = [np.frombuffer(d, dtype).astype("<u4").tobytes() for d in column]
+            yield batch.set_column(batch.num_columns - 1, "ids", pa.array(ids, pa.binary()))
+
+    return run
+
+
 def pack_documents(
     docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, seed: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -142,14 +169,21 @@ def pack_documents(
     piece; repeated rows are packed as often as they come, and a null doc_id stays null.
     A sequence is padded to ``capacity`` unless its length is a power of two.  Other columns
     are ignored; an empty table gives no pieces.
+
+    The pieces are written to the shared folder once encoded; only those shorter than a
+    sequence are shuffled, and a group of them is bounded by ``GROUP`` sequences on average.
     """
-    groups = docs.count() // GROUP + 1
-    dtype = "<u2" if encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
+    dtype = "<u2" if max(encoder(tokenizer).vocabulary, end_id + 1) <= 1 << 16 else "<u4"
     draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 1)
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), draw.alias("draw"))
-    names = ["doc_id", "start", "doc_tokens", "draw", "ids"]
-    pieces = given.mapInArrow(
-        _pieces(tokenizer, end_id, capacity, dtype, names), "doc_id long, start long, doc_tokens long, draw long, ids binary"
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), draw.alias("draw"))
+    schema = "doc_id long, start long, doc_tokens long, draw long, sequence_id long, ids binary"
+    pieces = given.mapInArrow(_pieces(tokenizer, end_id, capacity, dtype, [c.split()[0] for c in schema.split(", ")]), schema)
+    pieces = materialize(pieces, "pack-pieces")
+    short = pieces.filter("sequence_id is null").drop("sequence_id")
+    groups = short.count() // GROUP + 1
+    packed = short.withColumn("grp", F.pmod("draw", F.lit(groups))).groupBy("grp").applyInArrow(_pack(capacity, dtype), SCHEMA)
+    full = pieces.filter("sequence_id is not null").select(
+        "doc_id", "start", F.lit(capacity).cast("long").alias("length"), "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), "ids"
     )
-    grp = F.pmod("draw", F.lit(groups)).alias("grp")
-    return pieces.select("*", grp).groupBy("grp").applyInArrow(_pack(capacity, dtype), SCHEMA)
+    both = full.union(packed)
+    return both if dtype == "<u4" else both.mapInArrow(_wide(dtype), SCHEMA)

@@ -34,11 +34,14 @@ from .common import table_path
 from .tokens import encoder
 
 MAGIC = b"NGT1"
-LANES, STEPS = 4096, 128
+#: Lanes at most, ids a lane as a rule, ids of a block unless one document has more, and
+#: documents handled at once.
+LANES, STEPS = 16384, 128
 BLOCK = LANES * STEPS
+TEXTS = 500
 HASH_BITS = 20
 CONFIDENT = 7
-WEIGHT = 24
+WEIGHT, REST = 24, 8
 #: Order-0 counts are halved above MOST; the spelling's share is LEAST / 2 ** 16 at least, so
 #: every id keeps an interval.
 MOST, LEAST = 1 << 23, 512
@@ -49,62 +52,80 @@ TOP, BOTTOM = _U(1 << 48), _U(1 << 40)
 class _Model:
     """Predictions of the next id, shared by the lanes of a block.
 
-    A guess and its confidence share one entry: ``8 * id + confidence``.
+    A guess and its confidence share one entry: ``8 * id + confidence``.  The order-0 counts
+    follow the ids after ``REST`` steps at most.
     """
 
     def __init__(self, vocabulary: int):
-        self.counts = np.ones(vocabulary, np.int64)
-        self.total = vocabulary
+        self.counts = np.ones(vocabulary, np.int32)
         self.first_order = np.full(vocabulary, -8, np.int32)
         self.second_order = np.full(1 << HASH_BITS, -8, np.int32)
         self.outcomes = np.ones((2 * (CONFIDENT + 1) ** 2, 3), np.int64)
-        self.cumulative = np.zeros(vocabulary + 1, np.int64)
+        self.edges = np.zeros((len(self.outcomes), 4), np.int64)
+        self.edges[:, 3] = 1 << 32
+        self.cumulative = np.zeros(vocabulary + 1, np.int32)
+        self.seen: list[np.ndarray] = []
+        self.rest = 1
+        self._count()
+
+    def _count(self) -> None:
+        if self.seen:
+            ids = np.concatenate(self.seen)
+            self.counts += np.bincount(ids, minlength=len(self.counts)).astype(np.int32) * np.int32(WEIGHT)
+            self.seen = []
+            if int(self.counts.sum(dtype=np.int64)) > MOST:
+                self.counts = (self.counts + 1) >> 1
+        np.cumsum(self.counts, out=self.cumulative[1:])
+        self.total = int(self.cumulative[-1])
 
     def predict(self, last: np.ndarray, before: np.ndarray) -> None:
         """Prepare a step for lanes whose last two ids are given."""
-        np.cumsum(self.counts, out=self.cumulative[1:])
+        if len(self.seen) >= self.rest:
+            self._count()
+            self.rest = min(REST, 2 * self.rest)
         self.last = last
-        self.slot = ((before * 0x9E3779B1 + last * 0x85EBCA6B) >> 7) & ((1 << HASH_BITS) - 1)
+        mixed = before.astype(np.uint32) * np.uint32(0x9E3779B1) + last.astype(np.uint32) * np.uint32(0x85EBCA6B)
+        self.slot = (mixed >> np.uint32(32 - HASH_BITS)).astype(np.int64)
         self.e1, self.e2 = self.first_order[last], self.second_order[self.slot]
         self.p1, self.p2 = self.e1 >> 3, self.e2 >> 3
         self.context = ((self.e2 & 7) << 4) + ((self.e1 & 7) << 1) + (self.p1 == self.p2)
         share = (self.outcomes << 16) // self.outcomes.sum(axis=1, keepdims=True)
         first = np.clip(share[:, 0], 1, (1 << 16) - LEAST - 1)
-        second = np.clip(first + share[:, 1], first + 1, (1 << 16) - LEAST)
-        self.first, self.second = first[self.context] << 16, second[self.context] << 16
+        self.edges[:, 1] = first << 16
+        self.edges[:, 2] = np.clip(first + share[:, 1], first + 1, (1 << 16) - LEAST) << 16
 
     def choose(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.p2, 0, np.where(ids == self.p1, 1, 2))
+        """0 if order 2 has the id, else 1 if order 1 has it, else 2."""
+        return (ids != self.p2) * (1 + (ids != self.p1))
 
     def bounds(self, ids: np.ndarray, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each id's interval, in parts of 2 ** 32."""
-        low = np.where(choice == 0, 0, self.first)
-        high = np.where(choice == 0, self.first, self.second)
+        flat, at = self.edges.reshape(-1), 4 * self.context + choice
+        low = flat[at]
+        size = flat[at + 1] - low
         spelt = np.flatnonzero(choice == 2)
-        base, x = self.second[spelt], ids[spelt]
-        room = (1 << 32) - base
-        low[spelt] = base + room * self.cumulative[x] // self.total
-        high[spelt] = base + room * self.cumulative[x + 1] // self.total
-        return low, high - low
+        x, room = ids[spelt], size[spelt]
+        start = room * self.cumulative[x] // self.total
+        size[spelt] = room * self.cumulative[x + 1] // self.total - start
+        low[spelt] += start
+        return low, size
 
     def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Choice and id of the intervals that hold the values."""
-        choice = (v >= self.first).astype(np.int64) + (v >= self.second)
-        ids = np.where(choice == 0, self.p2, self.p1).astype(np.int64)
+        first, second = self.edges[:, 1][self.context], self.edges[:, 2][self.context]
+        choice = (v >= first).astype(np.int64) + (v >= second)
+        ids = np.where(choice == 0, self.p2, self.p1)
         spelt = np.flatnonzero(choice == 2)
-        base = self.second[spelt]
+        base = second[spelt]
         most = ((v[spelt] - base + 1) * self.total - 1) // ((1 << 32) - base)
-        ids[spelt] = np.searchsorted(self.cumulative, most, side="right") - 1
+        order = np.argsort(most)  # sorted places are found with fewer cache misses
+        ids[spelt[order]] = np.searchsorted(self.cumulative, most[order].astype(np.int32), side="right") - 1
         return choice, ids
 
     def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
         self.outcomes += 4 * np.bincount(self.context * 3 + choice, minlength=self.outcomes.size).reshape(-1, 3)
-        self.counts += WEIGHT * np.bincount(ids, minlength=len(self.counts))
-        self.total += WEIGHT * len(ids)
-        if self.total > MOST:
-            self.counts = (self.counts + 1) >> 1
-            self.total = int(self.counts.sum())
-        fresh = (ids << 3).astype(np.int32)
+        self.seen.append(ids)
+        fresh = ids << 3
         for table, at, e, hit in ((self.first_order, self.last, self.e1, self.p1 == ids), (self.second_order, self.slot, self.e2, self.p2 == ids)):
             sure = e & 7
             kept = np.where(sure > 0, e - sure + (sure >> 1), fresh)
@@ -113,7 +134,7 @@ class _Model:
 
 def _spans(n: int) -> tuple[int, int]:
     """Lanes and steps of a block of n ids."""
-    lanes = max(1, min(LANES, n // 32))
+    lanes = max(1, min(LANES, n // STEPS))
     return lanes, -(-n // lanes)
 
 
@@ -144,9 +165,9 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, bytes, bytes]:
     n = len(ids)
     lanes, steps = _spans(n)
     lengths = _lengths(n, lanes, steps)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
-    grid = grid.reshape(lanes, steps)
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     model = _Model(vocabulary)
     out_lane, out_word = [], []
@@ -161,10 +182,10 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, bytes, bytes]:
             out_word.append((low[go] >> _U(48)).astype(np.uint16))
             go = _shift(low, span, go)
 
-    before, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    before, last = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     for t in range(steps):
         active = int(np.searchsorted(-lengths, -t, side="left"))
-        now = grid[:active, t]
+        now = grid[t, :active]
         model.predict(last[:active], before[:active])
         choice = model.choose(now)
         put(active, *model.bounds(now, choice))
@@ -201,35 +222,35 @@ def decode_ids(n: int, lanes: int, sizes: bytes, data: bytes, vocabulary: int) -
             at[go] += 1
             go = _shift(low, span, go)
 
-    grid = np.zeros((lanes, steps), np.int64)
-    before, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
+    before, last = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     for t in range(steps):
         active = int(np.searchsorted(-lengths, -t, side="left"))
         model.predict(last[:active], before[:active])
         v = (code[:active] - low[:active]) // (span[:active] >> _U(32))
         choice, now = model.find(np.minimum(v, _U((1 << 32) - 1)).astype(np.int64))
         drop(active, *model.bounds(now, choice))
-        grid[:active, t] = now
+        grid[t, :active] = now
         model.learn(now, choice)
         before[:active], last[:active] = last[:active], now
-    return grid.reshape(-1)[:n]
+    return grid.T.reshape(-1)[:n]
 
 
-def write_block(doc_ids: list[int | None], documents: list[np.ndarray], vocabulary: int) -> bytes:
-    """One block of whole documents."""
-    ids = np.concatenate(documents) if documents else np.zeros(0, np.int64)
+def write_block(doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> bytes:
+    """One block of whole documents, whose ids follow each other."""
     lanes, sizes, words = encode_ids(ids, vocabulary)
     table = np.array([0 if i is None else i for i in doc_ids], "<i8").tobytes()
     table += np.array([i is None for i in doc_ids], "u1").tobytes()
-    table = zlib.compress(table + np.array([len(d) for d in documents], "<u4").tobytes())
+    table = zlib.compress(table + lengths.astype("<u4").tobytes())
     sizes = zlib.compress(sizes)
-    body = struct.pack("<5I", len(ids), len(documents), lanes, vocabulary, len(table))
+    body = struct.pack("<5I", len(ids), len(doc_ids), lanes, vocabulary, len(table))
     body += table + struct.pack("<I", len(sizes)) + sizes + words
     return MAGIC + struct.pack("<I", zlib.crc32(body)) + body
 
 
-def read_block(block: bytes) -> tuple[list[int | None], list[np.ndarray]]:
-    """Document ids and ids of each document; raises ``ValueError`` on a damaged block."""
+def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """Document ids, the ids of all documents and how many each has; raises ``ValueError``
+    on a damaged block."""
     body = block[8:]
     if block[:4] != MAGIC or struct.unpack("<I", block[4:8])[0] != zlib.crc32(body):
         raise ValueError("damaged token block")
@@ -241,43 +262,49 @@ def read_block(block: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     at = 20 + size
     (size,) = struct.unpack_from("<I", body, at)
     ids = decode_ids(n, lanes, zlib.decompress(body[at + 4 : at + 4 + size]), body[at + 4 + size :], vocabulary)
-    return [None if x else i for i, x in zip(names, nulls)], np.split(ids, np.cumsum(lengths)[:-1]) if docs else []
+    return [None if x else i for i, x in zip(names, nulls)], ids, lengths
 
 
 def _write(tokenizer: str, end_id: int):
     names = ["part", "seq", "start", "n_tokens", "block"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
-        enc = encoder(tokenizer, "<u2")
-        vocabulary = max(enc.tokenizer.get_vocab_size(), end_id + 1)
-        state = {"part": 0, "seq": 0, "start": 0}
+        enc = encoder(tokenizer)
+        vocabulary = max(enc.vocabulary, end_id + 1)
+        part = seq = start = size = 0
         docs: list[int | None] = []
         held: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
 
         def flush():
-            n = sum(map(len, held))
-            row = [state["part"], state["seq"], state["start"], n, write_block(docs, held, vocabulary)]
-            state["seq"] += 1
-            state["start"] += n
-            docs.clear(), held.clear()
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            nonlocal seq, start, size
+            block = write_block(docs, np.concatenate(held), np.concatenate(lengths), vocabulary)
+            row = [part, seq, start, size, block]
+            seq, start, size = seq + 1, start + size, 0
+            docs.clear(), held.clear(), lengths.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
-        size = 0
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            if ids:
-                state["part"] = batch.column(2)[0].as_py()
-            for a in range(0, len(ids), 500):
-                for i, data in zip(ids[a:], enc.encode(batch.column(1).slice(a, 500).to_pylist())):
-                    x = np.append(np.frombuffer(data, "<u2"), np.uint16(end_id))
-                    if held and size + len(x) > BLOCK:
+            if len(batch):
+                part = batch.column(2)[0].as_py()
+            for a in range(0, len(batch), TEXTS):
+                given = batch.slice(a, TEXTS)
+                names_, (ids, ends) = given.column(0).to_pylist(), enc.encode(given.column(1).to_pylist(), end_id)
+                at = 0
+                while at < len(ends):  # as many documents as the block has room for, one at least
+                    base = int(ends[at - 1]) if at else 0
+                    fit = int(np.searchsorted(ends, base + BLOCK - size, side="right"))
+                    if fit <= at and docs:
                         yield flush()
-                        size = 0
-                    docs.append(i)
-                    held.append(x)
-                    size += len(x)
-        if held:
+                        continue
+                    fit = max(fit, at + 1)
+                    docs += names_[at:fit]
+                    held.append(ids[base : ends[fit - 1]])
+                    lengths.append(np.diff(ends[at:fit], prepend=base))
+                    size += int(ends[fit - 1]) - base
+                    at = fit
+        if docs:
             yield flush()
 
     return run
@@ -287,16 +314,19 @@ def _read(batches):
     names = ["doc_id", "start", "n_tokens", "ids"]
     for batch in batches:
         for block, start in zip(batch.column(0), batch.column(1).to_pylist()):
-            docs, ids = read_block(block.as_py())
-            lengths = np.array([len(x) for x in ids], np.int64)
-            starts = start + np.cumsum(lengths) - lengths
-            for a in range(0, len(docs), 500):
+            docs, ids, lengths = read_block(block.as_py())
+            ends = np.cumsum(lengths)
+            for a in range(0, len(docs), TEXTS):
+                n = lengths[a : a + TEXTS]
+                first = int(ends[a] - n[0])
+                data = pa.py_buffer(ids[first : first + int(n.sum())].astype("<u4").tobytes())
+                offsets = pa.py_buffer(4 * np.append(0, np.cumsum(n)).astype("<i8"))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(docs[a : a + 500], pa.int64()),
-                        pa.array(starts[a : a + 500]),
-                        pa.array(lengths[a : a + 500]),
-                        pa.array([x.astype("<u4").tobytes() for x in ids[a : a + 500]], pa.binary()),
+                        pa.array(docs[a : a + TEXTS], pa.int64()),
+                        pa.array(start + ends[a : a + TEXTS] - n),
+                        pa.array(n),
+                        pa.Array.from_buffers(pa.large_binary(), len(n), [None, offsets, data]).cast(pa.binary()),
                     ],
                     names=names,
                 )

@@ -156,10 +156,10 @@ def test_line_runs(spark):
 def test_coder_round_trips():
     rng = np.random.default_rng(6)
     for ids in ([], [3], np.arange(70), rng.zipf(1.3, 9000) % 500, np.full(5000, 7), rng.integers(0, 49408, 4000), np.tile(rng.integers(0, 900, 50), 300)):
-        docs = np.array_split(np.asarray(ids, np.uint16), 3)
-        block = token_store.write_block([1, None, -5], docs, 49408)
-        names, back = token_store.read_block(block)
-        assert names == [1, None, -5] and all((a == b).all() for a, b in zip(docs, back))
+        ids, lengths = np.asarray(ids, np.uint32), np.array([len(x) for x in np.array_split(ids, 3)])
+        block = token_store.write_block([1, None, -5], ids, lengths, 49408)
+        names, back, again = token_store.read_block(block)
+        assert names == [1, None, -5] and (ids == back).all() and (lengths == again).all()
         bad = bytearray(block)
         bad[-1] ^= 1
         with pytest.raises(ValueError):
@@ -168,18 +168,51 @@ def test_coder_round_trips():
 
 def test_coder_learns():
     ids = np.tile(np.random.default_rng(7).integers(0, 40000, 500), 100)
-    assert len(token_store.write_block([0], [ids], 49408)) < len(ids) / 2
+    assert len(token_store.write_block([0], ids, np.array([len(ids)]), 49408)) < len(ids) / 2
+
+
+def test_large_vocabularies_round_trip():
+    ids = np.random.default_rng(3).integers(0, 200_000, 3000)
+    assert (token_store.read_block(token_store.write_block([0], ids, np.array([3000]), 200_000))[1] == ids).all()
+
+
+def odd_texts():
+    rng = random.Random(3)
+    signs = "ab'c stmdrevl.,_-1² éßÀ\n\t'\"xX İΣ中😀\x01\x02ǅ½\xa0\u0301"
+    return ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(3000)]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_word_by_word_ids_are_the_library_s(name):
+def test_ids_are_the_library_s(name, spark):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
-    texts = [x for _, x in corpus(9, 40)] + ["a  b", " lead", "trail ", "x\ny.", "x \ny", "tab\there", "it's we'll, 12,5.", "nb\xa0sp", "\x1c a", "É é é a ́b", "<|endoftext|> hi", "ΣΑΣ ΟΔΟΣ, İ", "日本語 テ.", ",", "... a.b. c,", "\n", "🔥 x"]
-    made = tokens.WordEncoder(public_tokenizers.path(name)).encode([*texts, None, ""])
-    for x, data in zip(texts, made):
-        assert np.frombuffer(data, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
-    assert made[-2:] == [b"", b""]
+    texts = [x for _, x in corpus(9, 40)] + odd_texts() + ["a  b", " lead", "trail ", "x\ny.", "x \ny", "tab\there", "it's we'll, 12,5.", "nb\xa0sp", "\x1c a", "É é é a ́b", "<|endoftext|> hi", "ΣΑΣ ΟΔΟΣ, İ", "日本語 テ.", ",", "... a.b. c,", "\n", "🔥 x", "a" * 3000, "' 's 'S'T''s"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    encoder = tokens.TextEncoder(public_tokenizers.path(name))
+    assert encoder.core is not None
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 7] for x in [*texts, None, ""]]
+    ids, ends = encoder.encode([*texts, None, ""], 7)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+    tokens.SPAN, span = 64, tokens.SPAN
+    try:  # cuts between words change nothing
+        assert encoder.encode([*texts, None, ""], 7)[0].tolist() == ids.tolist()
+    finally:
+        tokens.SPAN = span
+    encoder.core = None
+    assert encoder.encode([*texts[:50], None, ""], 7)[0].tolist() == sum(want[:50], []) + [7, 7]
+
+
+def test_token_files_hold_the_library_s_ids(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    rows = [(i * 3 % 401, x) for i, x in enumerate([*odd_texts()[:200], *(x for _, x in corpus(4, 200)), None])]
+    out = token_store.tokens_round_trip(spark.createDataFrame(rows, "doc_id long, text string"), path, 1).collect()
+    want = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for i, x in rows}
+    assert {r.doc_id: r.ids for r in out} == want
+    at = 0
+    for r in sorted(out, key=lambda r: r.doc_id):
+        assert (r.start, 4 * r.n_tokens) == (at, len(r.ids))
+        at += r.n_tokens
 
 
 def test_packing_keeps_ids_and_fills(spark):
