@@ -27,6 +27,8 @@ import numpy as np
 #: Characters of the joined texts that are split at once.
 SPAN = 1 << 20
 _MARK, _JOINED = "\x01", "\x02"
+#: The merge loop needs a special token; none is ever looked for.
+_UNUSED = "\x00\x01\x02"
 #: The pattern of the library's ByteLevel pre-tokenizer (fixed value).
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The pattern that files with word ends split by, as far as this module follows it (fixed value).
@@ -61,6 +63,7 @@ def _kinds() -> np.ndarray:
 
 
 _KIND = _kinds()
+_NARROW = _KIND[:256].tobytes()
 
 
 def _bytes_of_signs() -> dict[str, int]:
@@ -120,7 +123,7 @@ def _merge_core(path: str):
     except KeyError:
         return None
     pattern = "[^ ]+ " if end else _BYTE_LEVEL
-    made = tiktoken.Encoding("merges", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    made = tiktoken.Encoding("merges", pat_str=pattern, mergeable_ranks=ranks, special_tokens={_UNUSED: len(ids)})
     return made._core_bpe, np.array(ids, np.int64), bool(end)
 
 
@@ -158,8 +161,8 @@ class TextEncoder:
         return (np.concatenate(each) if each else np.zeros(0, np.uint32)), ends
 
     def _whole(self, texts, end_id: int) -> list[np.ndarray]:
-        run, table, mark = self.core.encode_ordinary, np.append(self.ids, end_id).astype(np.uint32), [len(self.ids)]
-        return [table[np.array(run(t) + mark if t else mark, np.int32)] for t in texts]
+        run, table, mark = self.core.encode_to_tiktoken_buffer, np.append(self.ids, end_id).astype(np.uint32), np.array([len(self.ids)], np.uint32)
+        return [table[np.append(np.frombuffer(run(t, set()), np.uint32), mark) if t else mark] for t in texts]
 
     def _by_word_ends(self, texts, end_id: int) -> list[np.ndarray]:
         table = self.ids.astype(np.uint32)
@@ -189,29 +192,29 @@ class TextEncoder:
             marked, found, count = _ended(joined[at:end])
             odd |= {texts + k for k in found}
             texts += count
-            out.append(np.array(self.core.encode_ordinary(marked), np.int32))
+            out.append(np.frombuffer(self.core.encode_to_tiktoken_buffer(marked, set()), np.uint32))
             at = end
-        return (np.concatenate(out) if out else np.zeros(0, np.int32)), odd
+        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), odd
 
 
 def _ended(part: str) -> tuple[str, list[int], int]:
     """A stretch of lower-cased texts with a blank after each pre-token, the numbers of its
     texts that have odd characters, and how many texts end in it."""
-    signs = np.frombuffer(part.encode("utf-16-le", "surrogatepass"), "<u2")
-    kind = _KIND[np.minimum(signs, _LATIN)]
-    ahead = np.append(kind[1:], _SPACE)
-    more = (kind != _SPACE) & (ahead != _SPACE) & ((kind != ahead) | (kind == _DIGIT))
-    more[-1] = kind[-1] != _SPACE
-    at = np.arange(len(signs), dtype=np.int32)
-    at[1:] += np.cumsum(more[:-1], dtype=np.int32)
-    out = np.full(int(at[-1]) + 1 + int(more[-1]), 32, "<u2")
-    found: list[int] = []
+    try:
+        kind = np.frombuffer(part.encode("latin-1").translate(_NARROW), np.uint8)
+    except UnicodeEncodeError:
+        signs = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = _KIND[np.minimum(signs, _LATIN)]
+    this, ahead = kind[:-1], kind[1:]
+    cuts = (np.flatnonzero((this != _SPACE) & (ahead != _SPACE) & ((this != ahead) | (this == _DIGIT))) + 1).tolist()
     between = np.flatnonzero(kind == _BETWEEN)
     odd = np.flatnonzero(kind == _ODD)
-    if len(odd):
-        found = np.unique(np.searchsorted(between, odd)).tolist()
-    out[at] = np.where(kind == _SPACE, 32, np.where(kind == _ODD, ord("x"), np.where(signs == ord(_JOINED), ord("'"), signs)))
-    return out.tobytes().decode("utf-16-le"), found, len(between)
+    found = np.unique(np.searchsorted(between, odd)).tolist() if len(odd) else []
+    plain = part.replace(_JOINED, "'")
+    for c in "\t\n\v\f\r":
+        plain = plain.replace(c, " ")
+    ended = " ".join([plain[i:j] for i, j in zip([0, *cuts], [*cuts, len(plain)])])
+    return ended if kind[-1] == _SPACE else ended + " ", found, len(between)
 
 
 _KEPT: dict[str, TextEncoder] = {}
