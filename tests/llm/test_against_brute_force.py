@@ -47,7 +47,11 @@ def union_find(ids, links):
 
 
 @pytest.mark.parametrize("width,percent", [(3, 90), (5, 80), (1, 60)])
-def test_jaccard_links_are_all_found(spark, width, percent):
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_jaccard_links_are_all_found(spark, monkeypatch, width, percent, chunk):
+    if chunk == 3:  # long lists and large groups in tiles
+        monkeypatch.setattr(ngram_jaccard, "CHUNK", 3)
+        monkeypatch.setattr(ngram_jaccard, "LONG", 3)
     rows = corpus(width)
     sets = {}
     for i, t in rows:
@@ -59,6 +63,55 @@ def test_jaccard_links_are_all_found(spark, width, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_jaccard_of_repeated_and_missing_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(words[::-1])
+    for rows in ([(1, a), (1, b), (2, a + " x"), (3, b + " x")], [(1, b), (1, a), (2, a + " x"), (3, b + " x")]):
+        out = ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+        assert {r.component_id for r in out.collect()} == {1}
+    # Y is near to X and Z, which are far from each other, and has no id
+    x, z = " ".join(["p0", "p1", "p2"] + words), " ".join(words + ["q0", "q1", "q2"])
+    rows = [(7, x), (None, a), (5, z), (None, "alone it stands here"), (None, None)]
+    out = ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == sorted([(7, 61, 5), (None, 58, 5), (5, 61, 5), (None, 2, None), (None, 0, None)], key=str)
+
+
+def test_met_signatures_cross_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    sig, key = rng.integers(0, 60, 200), rng.integers(0, 4, 200)
+    order = np.lexsort((key, sig))
+    sig, key = sig[order], key[order]
+    table = pa.table({"sig": sig, "use": np.zeros(200, np.int32), "key": key})
+    want = {(s, k) for s, k in zip(sig.tolist(), key.tolist()) if len(set(key[sig == s])) > 1}
+    for size in (1, 2, 3, 50, 200):
+        out = [r for b in ngram_jaccard._met(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert sorted((r["sig"], r["key"]) for r in out) == sorted(want)
+
+
+def test_allocation_at_the_parameters_of_op1():
+    """Segments of one deletion pay where sets are short or elements are often shared by
+    chance; elsewhere their rows cost more than the chance pairs they save."""
+    for percent, sizes in ((90, (1000, 10**6, 10**9)), (80, (1000, 10**6))):
+        bounds = ngram_jaccard.size_bands(3000, percent)
+        for sets in sizes:
+            for band in range(len(bounds) - 1):
+                plan = ngram_jaccard.allocate(band, bounds, percent, sets)
+                if plan is not None:
+                    capacities, spare = plan
+                    top = bounds[band + 1] - 1
+                    assert sum(capacities) - ngram_jaccard.most_difference(top + top * 100 // percent, percent) - 1 - spare in (0, 1)
+
+    def kinds(percent, sets, chance):
+        bounds = ngram_jaccard.size_bands(3000, percent)
+        plans = [ngram_jaccard.allocate(b, bounds, percent, sets, chance) for b in range(len(bounds) - 1)]
+        return {k for p in plans if p for k in p[0]}
+
+    assert kinds(90, 10**6, 0.03) == {1} and kinds(90, 10**8, 0.03) == {1, 2}
+    assert kinds(90, 10**6, 0.2) == {1, 2} and kinds(80, 1000, 0.03) == {1, 2}
+
+
 def test_one_deletion_allocation_loses_nothing():
     rng = np.random.default_rng(0)
     bounds = ngram_jaccard.size_bands(400, 80)
@@ -75,7 +128,7 @@ def test_one_deletion_allocation_loses_nothing():
         total = ngram_jaccard.most_difference((bounds[low + 1] - 1) + (bounds[low + 1] - 1) * 100 // 80, 80) + 2
         for doubles in (0, total // 4, total // 2):
             capacities = [2] * doubles + [1] * (total - 2 * doubles)
-            x, y = (ngram_jaccard.signatures(s, low, capacities) for s in (a, b))
+            x, y = (ngram_jaccard.signatures(s, low, capacities, 1) for s in (a, b))
             assert len(np.intersect1d(x, y))
 
 
