@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
@@ -264,7 +264,7 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     to the path that sorts last.  Repeated rows vote and are extracted each.  A column named
     ``text`` or starting with ``__`` is replaced.
     """
-    votes = pages.select(F.col(url_col).cast("string"), F.col(html_col)).mapInArrow(_votes, "host string, path string")
+    votes = pages.select(F.col(url_col).cast("string"), F.col(html_col)).mapInArrow(lean(_votes), "host string, path string")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"))
     winners = counted.groupBy("host").agg(F.max(F.struct("n", "path"))["path"].alias("__path"))
     host = F.lower(F.regexp_extract(F.trim(F.col(url_col)), _HOST.pattern.replace("^", "^(?i)", 1), 1))
@@ -274,4 +274,4 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     joined = given.join(winners.withColumnRenamed("host", "__host"), F.col("__of") == F.col("__host"), "left")
     joined = joined.select(*kept, "__html", "__path")
     schema = pages.select(*kept).schema.add("text", "string")
-    return joined.mapInArrow(_texts(kept), schema)
+    return joined.mapInArrow(lean(_texts(kept)), schema)

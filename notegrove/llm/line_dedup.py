@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_batches
+from .common import lean, mix64, text_batches
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -148,7 +148,7 @@ def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", tex
     version = F.xxhash64(F.col(text_col))
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), version.alias("version"), F.col(text_col).alias("text"))
     suffixes = given.filter("text is not null").mapInArrow(
-        _suffixes(min_words), "rank long, doc_id long, version long, start int, end int"
+        lean(_suffixes(min_words)), "rank long, doc_id long, version long, start int, end int"
     )
     place = F.struct("doc_id", "version", "start")
     intervals = suffixes.groupBy("rank").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
@@ -160,5 +160,5 @@ def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", tex
     rows = docs.select(*kept, F.col(text_col).alias("__text"), version.alias("__version"))
     joined = rows.join(cuts, (F.col("__version") == F.col("__of")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
     schema = docs.select(*kept).schema.add("text", "string").add("n_lines", "long").add("n_removed", "long")
-    out = joined.select(*kept, "__text", "__cuts").mapInArrow(_delete(kept), schema)
+    out = joined.select(*kept, "__text", "__cuts").mapInArrow(lean(_delete(kept)), schema)
     return out.withColumnRenamed("text", text_col) if text_col != "text" else out

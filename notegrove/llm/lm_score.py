@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, materialize, mix64, text_batches, word_hashes
+from .common import binary_texts, lean, materialize, mix64, text_batches, word_hashes
 
 CLASSES, PER_CLASS = 32, 32
 BUCKETS = 64
@@ -200,7 +200,7 @@ def _bucket(word):
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``word, n``: the hash of every word of the corpus and how often it occurs."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    counted = texts.mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(lean(_counts), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return materialize(counted, "lm-words")
 
 
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text") -> tuple[np.
     named = np.array([r["word"] for r in top], np.int64).astype(np.uint64)
     model = pack(start_weights())
     for round_ in range(ROUNDS):
-        parts = texts.mapInArrow(_train(named, model, round_), "model binary, places long")
+        parts = texts.mapInArrow(lean(_train(named, model, round_)), "model binary, places long")
         left = texts.rdd.getNumPartitions()
         while True:
             left = max(1, -(-left // FAN_IN))
@@ -290,7 +290,7 @@ def _add_shares(of_bucket: np.ndarray):
 def score(docs: DataFrame, counts: DataFrame, named: np.ndarray, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, log_prob, mean_log_prob`` for every row; ``counts`` has all words of ``docs``."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    coded = given.mapInArrow(_code(named, model), "piece long, doc_id long, n_words long, head double, tail binary, words array<long>")
+    coded = given.mapInArrow(lean(_code(named, model)), "piece long, doc_id long, n_words long, head double, tail binary, words array<long>")
     coded = materialize(coded, "lm-coded")  # the numbers hold for this division into pieces only
     # bounded: BUCKETS rows
     sums = counts.filter(~F.col("word").isin([int(x) for x in named.astype(np.int64)])).groupBy(_bucket(F.col("word")).alias("b")).agg(F.sum("n").alias("n"))

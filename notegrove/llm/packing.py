@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 from .tokens import encoder
 
 GROUP = 4096
@@ -177,7 +177,7 @@ def pack_documents(
     draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 1)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), draw.alias("draw"))
     schema = "doc_id long, start long, doc_tokens long, draw long, sequence_id long, ids binary"
-    pieces = given.mapInArrow(_pieces(tokenizer, end_id, capacity, dtype, [c.split()[0] for c in schema.split(", ")]), schema)
+    pieces = given.mapInArrow(lean(_pieces(tokenizer, end_id, capacity, dtype, [c.split()[0] for c in schema.split(", ")])), schema)
     pieces = materialize(pieces, "pack-pieces")
     short = pieces.filter("sequence_id is null").drop("sequence_id")
     groups = short.count() // GROUP + 1
@@ -186,4 +186,4 @@ def pack_documents(
         "doc_id", "start", F.lit(capacity).cast("long").alias("length"), "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), "ids"
     )
     both = full.union(packed)
-    return both if dtype == "<u4" else both.mapInArrow(_wide(dtype), SCHEMA)
+    return both if dtype == "<u4" else both.mapInArrow(lean(_wide(dtype)), SCHEMA)

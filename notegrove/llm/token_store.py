@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table_path
+from .common import lean, table_path
 from .tokens import encoder
 
 MAGIC = b"NGT1"
@@ -345,7 +345,7 @@ def write_tokens(
     ordered = given.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered = ordered.withColumn("part", F.spark_partition_id())
     schema = "part int, seq long, start long, n_tokens long, block binary"
-    ordered.mapInArrow(_write(tokenizer, end_id), schema).write.parquet(path)
+    ordered.mapInArrow(lean(_write(tokenizer, end_id)), schema).write.parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
@@ -356,7 +356,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = blocks.join(F.broadcast(bases), "part").select("block", (F.col("start") + F.col("base")).alias("start"))
-    return placed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(lean(_read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def tokens_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR, binary_texts, join_texts, text_batches
+from .common import SEPARATOR, binary_texts, join_texts, lean, text_batches
 
 BUCKETS = 1 << 18
 WIDTH = 8
@@ -31,8 +31,9 @@ PRIOR = 150
 SAMPLE = (2000, 8000)
 #: Passes over the sample, and steps at least.
 EPOCHS, STEPS = 8, 1200
-#: Texts of the sample that an n-gram must be in to get an embedding.
-MIN_TEXTS = 8
+#: Texts of the sample that an n-gram must be in to get an embedding: one, and one more for
+#: each so many texts of the sample, up to a most.
+TEXTS_A_TEXT, MIN_TEXTS = 500, 8
 BATCH = 32
 TABLE_RATE = 150.0
 LAYER_RATE = 0.5
@@ -67,10 +68,34 @@ def ngram_buckets(texts: list[bytes]):
 
 
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of a text's n-grams and the share of each."""
+    """The buckets of a text's n-grams and how often each occurs."""
     found = [bucket[valid] for bucket, valid, _ in ngram_buckets([text])]
     bucket, count = np.unique(np.concatenate(found or [np.zeros(0, np.uint32)]), return_counts=True)
-    return bucket.astype(np.int32), (count / (PRIOR + count.sum())).astype(np.float32)
+    return bucket.astype(np.int32), count
+
+
+class _Bags:
+    """The known n-grams of all texts, in a few large arrays that are freed whole."""
+
+    def __init__(self, texts: list[bytes], row: np.ndarray):
+        self.of, parts, held = [], [], []
+        for k, text in enumerate(texts):
+            bucket, count = bag(text)
+            known = row[bucket] >= 0
+            held.append((row[bucket][known], count[known].astype(np.min_scalar_type(int(count.max(initial=0)))), int(count.sum())))
+            if len(held) == 256 or k + 1 == len(texts):
+                parts.append(tuple(np.concatenate(x) for x in list(zip(*held))[:2]))
+                ends = np.cumsum([len(x) for x, _, _ in held]).tolist()
+                self.of += [(len(parts) - 1, a, b, n) for a, b, (_, _, n) in zip([0, *ends], ends, held)]
+                held = []
+        self.parts = parts
+
+    def batch(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and shares of some texts, one after the other, and how many each has."""
+        at = [self.of[i] for i in texts]
+        rows = np.concatenate([self.parts[p][0][a:b] for p, a, b, _ in at])
+        shares = np.concatenate([self.parts[p][1][a:b] * np.float32(1 / (PRIOR + n)) for p, a, b, n in at])
+        return rows, shares, np.array([b - a for _, a, b, _ in at])
 
 
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -80,14 +105,13 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
     that many texts of a class share add up.
     """
     rng = np.random.default_rng(seed)
-    bags = [bag(t) for t in texts]
     texts_with = np.zeros(BUCKETS, np.int32)
-    for bucket, _ in bags:
-        texts_with[bucket] += 1
-    known = np.flatnonzero(texts_with >= MIN_TEXTS)
+    for text in texts:
+        texts_with[bag(text)[0]] += 1
+    known = np.flatnonzero(texts_with >= min(MIN_TEXTS, 1 + len(texts) // TEXTS_A_TEXT))
     row = np.full(BUCKETS, -1, np.int32)
     row[known] = np.arange(len(known))
-    bags = [(row[b][row[b] >= 0], s[row[b] >= 0]) for b, s in bags]
+    bags = _Bags(texts, row)
     table = rng.normal(0, 0.05, (len(known), WIDTH)).astype(np.float32)
     layer = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -97,9 +121,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
         order = rng.permutation(len(texts))
         for a in range(0, len(order), BATCH):
             rows = order[a : a + BATCH]
-            bucket = np.concatenate([bags[i][0] for i in rows])
-            share = np.concatenate([bags[i][1] for i in rows])
-            sizes = np.array([len(bags[i][0]) for i in rows])
+            bucket, share, sizes = bags.batch(rows)
             doc = np.repeat(np.arange(len(rows)), sizes)
             mean = np.zeros((len(rows), WIDTH), np.float32)
             some = np.flatnonzero(sizes)
@@ -149,7 +171,7 @@ def train(labelled: DataFrame, shift: float = 0.0) -> tuple[bytes, float]:
         yield pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "bias": [bias + shift]})
 
     # the scan stays parallel; only the sample meets in one task
-    found = labelled.select("doc_id", "text", "label").repartition(1).mapInPandas(run, "weights binary, bias double").collect()
+    found = labelled.select("doc_id", "text", "label").repartition(1).mapInPandas(lean(run), "weights binary, bias double").collect()
     if not found:
         return np.zeros(BUCKETS, np.float32).tobytes(), 0.0
     return bytes(found[0]["weights"]), found[0]["bias"]
@@ -174,13 +196,13 @@ def score(docs: DataFrame, weights: bytes, bias: float, text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([*out.columns[:-1], values], names=[*names, "score"])
 
     given = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(lean(run), schema)
 
 
 def eligible_labels(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, label)`` of the labels 0 and 1, one of each id."""
+    """``(doc_id, label)`` of the labels 0 and 1; 1 wins where an id has both."""
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    return rows.filter("doc_id is not null and label in (0, 1)").dropDuplicates(["doc_id"])
+    return rows.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
 def sample_shift(labels: DataFrame, label_col: str, id_col: str = "doc_id", sample: tuple[int, int] = SAMPLE) -> float:
@@ -211,7 +233,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     Rows whose ``crc32(doc_id as text) mod 4`` is 2 are never learned from.  Returns
     ``doc_id, held_out, score, predicted`` for every row, repeated ids included; a null
     doc_id is not held out.  Labels that are null, not 0 or 1, or without a document are
-    ignored; of repeated labels of an id one is used.
+    ignored; an id labelled both 0 and 1 counts as 1.
     """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
     # bounded: at most sum(sample) rows
