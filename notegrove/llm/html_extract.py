@@ -4,6 +4,11 @@ Pass one scores the containers of each page by the text of their blocks and lets
 vote for the generalised path (tags with classes, digits removed) of its best one.  Votes
 are counted per host and path; pass two takes the text of the elements on the host's winning
 path, or of the page's own best container where the page has no such element.
+
+Words in class or id ("sidebar", "comments") are evidence, not a verdict: an element with one
+is left out if it holds at most half of the page's running text; one that holds more, and
+no heading of the first level, counts for less in the scores, and the host's votes decide.  Names that state something about the
+page ("has-sidebar", "comments-open") are no evidence.
 """
 
 from __future__ import annotations
@@ -38,7 +43,13 @@ BLOCK = CONTAINER | HEADING | frozenset(
 #: Elements and roles that hold no article text.
 OUTSIDE = frozenset("nav footer aside form button select fieldset dialog menu label input".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-#: Words in class or id that mark what is not the article.
+#: Elements that take all up to their end tag, or else to the end of the page, as their text.
+SWALLOW = frozenset("script style title textarea iframe".split())
+#: Words that, in a class or id, speak about the page or its layout.
+STATES = frozenset("has no non with without is open closed enabled disabled allowed".split())
+#: What blocks in a marked element of much text are worth in the scores.
+DOUBT = 0.1
+#: Words in class or id that mark what is mostly not the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "notice notification popup modal overlay newsletter subscribe subscription paywall sidebar menu nav navbar navigation "
@@ -55,6 +66,7 @@ class Element:
     path: str
     parent: int
     outside: bool
+    marked: bool
     in_article: bool
     in_header: bool
 
@@ -72,14 +84,16 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
 
 
-def _marks(attrs: str) -> tuple[str, bool]:
-    """Generalised class of a tag, and whether its attributes put it outside the article."""
-    classes, outside = "", False
+def _marks(attrs: str) -> tuple[str, bool, bool]:
+    """Generalised class of a tag, whether its class or id marks it, and whether its other
+    attributes put it outside the article."""
+    classes, marked, outside = "", False, False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if key in ("class", "id"):
-            words = {w.lower() for w in _TOKEN.findall(value)}
-            outside |= not words.isdisjoint(MARKS)
+            for one in value.split():
+                words = {w.lower() for w in _TOKEN.findall(one)}
+                marked |= not words.isdisjoint(MARKS) and words.isdisjoint(STATES)
             if key == "class":
                 classes = ".".join(sorted({re.sub(r"\d+", "", c.lower()) for c in value.split()} - {""}))
         elif key == "role":
@@ -88,13 +102,13 @@ def _marks(attrs: str) -> tuple[str, bool]:
             outside |= "display:none" in value.replace(" ", "").lower()
         else:
             outside |= value.lower() != "false"
-    return classes, outside
+    return classes, marked, outside
 
 
 def parse(source: str) -> Page:
     """Elements and text blocks of a page; tolerates unclosed and stray tags."""
     page = Page()
-    page.elements.append(Element("html", "", -1, False, False, False))
+    page.elements.append(Element("html", "", -1, False, False, False, False))
     stack = [0]
     parts: list[str] = []
     linked = 0
@@ -154,7 +168,7 @@ def parse(source: str) -> Page:
         if name in RAW:
             if not m["attrs"].endswith("/"):
                 stop = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                at = stop.end() if stop else end
+                at = stop.end() if stop else end if name in SWALLOW else at
             continue
         if name in CLOSES:
             close(*CLOSES[name])
@@ -167,25 +181,59 @@ def parse(source: str) -> Page:
         if name == "td" or name == "th":
             add(" ")
         up = page.elements[stack[-1]]
-        classes, marked = _marks(m["attrs"]) if m["attrs"] else ("", False)
-        outside = up.outside or name in OUTSIDE or (marked and name not in ("html", "body", "main"))
+        classes, marked, outside = _marks(m["attrs"]) if m["attrs"] else ("", False, False)
+        outside = (outside and name not in ("html", "body", "main")) or up.outside or name in OUTSIDE
+        marked = marked and name not in ("html", "body", "main")
         in_article = up.in_article or name in ("article", "main")
         outside |= name == "header" and not in_article
         path = f"{up.path}>{name}{'.' + classes if classes else ''}" if name in CONTAINER else up.path
-        page.elements.append(Element(name, path, stack[-1], outside, in_article, up.in_header or name == "header"))
+        page.elements.append(Element(name, path, stack[-1], outside, marked, in_article, up.in_header or name == "header"))
         stack.append(len(page.elements) - 1)
         links += name == "a"
     flush()
+    _leave_out(page)
     return page
 
 
+def _running(b: Block) -> int:
+    """How much of a block reads as text rather than as a list of links."""
+    return max(0, len(b.text) - 2 * b.linked)
+
+
+def _leave_out(page: Page) -> None:
+    """Drop the blocks in marked elements that hold at most half of the page's running text;
+    of the others, those with a heading of the first level are marked no more."""
+    held, titled = [0] * len(page.elements), [False] * len(page.elements)
+    for b in page.blocks:
+        held[b.owner] += _running(b)
+        titled[b.owner] |= page.elements[b.owner].tag == "h1"
+    for i in range(len(held) - 1, 0, -1):  # parents come before their children
+        held[page.elements[i].parent] += held[i]
+        titled[page.elements[i].parent] |= titled[i]
+    for i, e in enumerate(page.elements[1:], 1):
+        e.outside |= page.elements[e.parent].outside or (e.marked and 2 * held[i] <= held[0])
+        e.marked &= not (e.outside or titled[i])
+    page.blocks = [b for b in page.blocks if not page.elements[b.owner].outside]
+
+
+def _marked_below(page: Page, at: int, root: int) -> bool:
+    """Whether a marked element stands between an element and one above it."""
+    while at > root:
+        if page.elements[at].marked:
+            return True
+        at = page.elements[at].parent
+    return False
+
+
 def best_container(page: Page) -> int | None:
     """The element whose blocks hold most running text, with half for blocks one level down."""
     scores: dict[int, float] = {}
     for b in page.blocks:
-        worth = max(0, len(b.text) - 2 * b.linked)
+        worth = float(_running(b))
         if page.elements[b.owner].tag in HEADING:
             worth *= 0.1
+        if _marked_below(page, b.owner, 0):
+            worth *= DOUBT
         share, at, level = 1.0, b.owner, 0
         while at > 0 and level < 2:
             if page.elements[at].tag in CONTAINER:
@@ -199,8 +247,9 @@ def best_container(page: Page) -> int | None:
 
 
 def text_of(page: Page, roots: set[int]) -> str:
-    """Blocks at or under the roots, in page order."""
-    out = []
+    """Blocks at or under the roots, in page order; those in marked elements under a root
+    only if it has no other running text."""
+    found: list[tuple[Block, bool]] = []
     for b in page.blocks:
         at, owner = b.owner, page.elements[b.owner]
         if owner.in_header and owner.tag not in HEADING:
@@ -208,8 +257,9 @@ def text_of(page: Page, roots: set[int]) -> str:
         while at > 0 and at not in roots:
             at = page.elements[at].parent
         if at in roots:
-            out.append(b.text)
-    return "\n\n".join(out)
+            found.append((b, _marked_below(page, b.owner, at)))
+    rest = any(_running(b) and page.elements[b.owner].tag not in HEADING for b, marked in found if not marked)
+    return "\n\n".join(b.text for b, marked in found if not (marked and rest))
 
 
 def host_of(url: str | None) -> str | None:

@@ -357,3 +357,38 @@ def test_html_consensus(spark):
     for i in range(5):
         assert out[i] == f'The "Title"\n\nFirst para of page {i}, long enough to be one yes.\n\nSecond line\n\nitem'
     assert {html_extract.vote(h, u) for _, u, h in rows} == {("h.com", ">body>div>article.post-")}
+
+
+def article(n: int) -> list[str]:
+    return [f"Paragraph {k} of article {n}, with words enough to be read as running text." for k in range(4)]
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "comments-open", "with-banner", "post-share-enabled", "sidebar", "entry"])
+def test_names_are_evidence_only(name):
+    inside = "".join(f"<p>{p}</p>" for p in article(1))
+    page = f'<body><div class="{name}"><h1>T</h1>{inside}</div><div class="sidebar"><p>Buy this now, it is cheap.</p></div><div id="comments"><p>First!</p></div></body>'
+    assert html_extract.extract(page, None) == "\n\n".join(["T", *article(1)])
+
+
+def test_unclosed_raw_elements():
+    assert html_extract.extract("<p>before<svg><p>after", None) == "before\n\nafter"
+    assert html_extract.extract("<p>before<script>if (a < b) x()", None) == "before"
+
+
+def test_consensus_of_several_hosts(spark):
+    """Hosts with layouts of their own; on some pages another container holds more text."""
+    layouts = {
+        "a.com": ('<div class="post-{i}">{article}</div>', '<div class="extra">{noise}</div>'),
+        "b.org": ('<main><section class="story">{article}</section></main>', '<section class="tips">{noise}</section>'),
+        "c.net:8080": ('<table><tr><td class="text">{article}</td></tr></table>', '<div class="teaser">{noise}</div>'),
+    }
+    rows, want = [], {}
+    for h, (host, (main, other)) in enumerate(layouts.items()):
+        for i in range(7):
+            k = 100 * h + i
+            noise = "".join(f"<p>Noise {j} {'that goes on and on, ' * (9 if i == 3 else 1)}</p>" for j in range(4))
+            body = main.format(i=i, article="".join(f"<p>{p}</p>" for p in article(k))) + other.format(noise=noise)
+            rows.append((k, f"https://{host}/page/{i}", f"<html><head><title>t</title></head><body><nav>menu</nav>{body}<footer>end</footer></body></html>"))
+            want[k] = "\n\n".join(article(k))
+    out = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in out.collect()} == want
