@@ -6,8 +6,10 @@ the text itself.  It is one ``translate`` with a table built from the Unicode da
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -84,6 +86,15 @@ def fold_field_column(c: Column) -> Column:
     return fold_column(F.regexp_replace(c, MARKS, ""))
 
 
+def _shortened(seed: str) -> Iterator[str]:
+    """A spelling with each choice of its two-letter spellings contracted, the first of them
+    varying fastest; the spelling itself first, the full contraction last."""
+    cuts = [m.start() + 1 for m in CONTRACTIONS.finditer(seed)]
+    parts = [seed[a:b] for a, b in zip([0, *cuts], [*cuts, len(seed)])]
+    for drops in itertools.product((False, True), repeat=len(cuts)):
+        yield parts[0] + "".join(p[d:] for p, d in zip(parts[1:], reversed(drops)))
+
+
 def variants(raw: str, most: int) -> list[str]:
     """Spellings that a term matches, the plain fold first.
 
@@ -92,24 +103,11 @@ def variants(raw: str, most: int) -> list[str]:
     characters; of terms with over six places only the full contraction is tried.
     """
     composed = unicodedata.normalize("NFC", raw)
-    seeds = list(dict.fromkeys(s for s in (fold(composed), alias_fold(composed)) if s))
-    sites = {s: [m.start() for m in CONTRACTIONS.finditer(s)] for s in seeds}
-
-    def contracted(seed: str, chosen: list[int]) -> str:
-        drop = {i + 1 for i in chosen}
-        return "".join(c for i, c in enumerate(seed) if i not in drop)
-
-    found = dict.fromkeys(seeds)
-    for s in seeds:
-        if sites[s]:
-            found.setdefault(contracted(s, sites[s]))
-    for s in seeds:
-        n = len(sites[s])
-        for mask in range(1, (1 << n) - 1) if 0 < n <= 6 else ():
-            if len([v for v in found if v in seeds or len(v) >= 3]) >= most:
-                break
-            found.setdefault(contracted(s, [at for k, at in enumerate(sites[s]) if mask >> k & 1]))
-    return [v for v in found if v in seeds or len(v) >= 3][: max(1, most)]
+    seeds = [s for s in dict.fromkeys((fold(composed), alias_fold(composed))) if s]
+    fully = [CONTRACTIONS.sub(lambda m: m[0][0], s) for s in seeds if CONTRACTIONS.search(s)]
+    partly = (v for s in seeds if len(CONTRACTIONS.findall(s)) <= 6 for v in _shortened(s))
+    spelt = (v for v in itertools.chain(seeds, fully, partly) if v in seeds or len(v) >= 3)
+    return list(dict.fromkeys(spelt))[: max(1, most)]
 
 
 def words(text: str) -> list[str]:

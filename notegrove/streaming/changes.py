@@ -2,7 +2,8 @@
 
 A change has ``seq, kind, path, old_path, raw, ctime, mtime``; kinds are created, modified,
 deleted and renamed.  Within a batch the last change of a path wins and renames keep the
-origin, so a document keeps its id.
+origin, so a document keeps its id.  Changes to files whose time and size are as indexed are
+passed over.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,72 +30,111 @@ class Pending:
     origin: str | None = None
 
 
-def fold_changes(events: Iterable[tuple[str, str, str | None]]) -> dict[str, Pending]:
-    """Changes in order to one outcome a path.
+@dataclass
+class File:
+    """A file of a batch: the path of its record before the batch, and what became of it."""
+
+    origin: str
+    fate: str = "move"
+
+
+class Files:
+    """The files of a batch, replayed: which file each path holds.
 
-    A rename carries along what its old path had pending; if the new path had something
-    pending from elsewhere, that origin is deleted.
+    A deleted file keeps its path, so that one created there afterwards takes its record.
+    A file that a rename puts out of the way, and one whose path a rename has passed through,
+    leave a deletion at their own path unless something is there again.
     """
-    out: dict[str, Pending] = {}
+
+    def __init__(self):
+        self.held: dict[str, File] = {}
+
+    def change(self, path: str, fate: str) -> None:
+        self.held.setdefault(path, File(path)).fate = fate
+
+    def move(self, old: str, new: str) -> None:
+        file = self.held.pop(old, None) or File(old)
+        gone = [f.origin for f in (self.held.get(new),) if f and f.origin != new]
+        gone += [old] if file.origin != old else []
+        self.held[new] = file
+        for path in gone:
+            if path != file.origin:
+                self.held.setdefault(path, File(path, "delete"))
+
+
+def fold_changes(events: Iterable[tuple[str, str, str | None]]) -> dict[str, Pending]:
+    """Changes in order to one outcome a path; an origin is named if it is another path, or if
+    the record is to stay as it is."""
+    files = Files()
     for kind, path, old_path in events:
-        if not path:
-            continue
-        if kind in ("created", "modified", "deleted"):
-            origin = out[path].origin if path in out else None
-            out[path] = Pending("delete" if kind == "deleted" else "index", origin)
-        elif kind == "renamed":
-            source = old_path or path
-            before = out.pop(source, None)
-            origin = before.origin if before and before.origin else source
-            displaced = out.get(path)
-            if displaced:
-                lost = displaced.origin or path
-                if lost not in (path, origin) and lost not in out:
-                    del out[path]
-                    out[lost] = Pending("delete")
-            if origin != source:  # what was at the old path before the batch is not there any more
-                out[source] = Pending("delete")
-            out[path] = Pending("move" if before is None else "delete" if before.kind == "delete" else "index", origin)
-    return out
+        if path and kind == "renamed":
+            files.move(old_path or path, path)
+        elif path and kind in ("created", "modified", "deleted"):
+            files.change(path, "delete" if kind == "deleted" else "index")
+    return {p: Pending(f.fate, f.origin if f.origin != p or f.fate == "move" else None) for p, f in files.held.items()}
+
+
+def _chains(renames: DataFrame) -> DataFrame:
+    """``(path, chain)`` of the paths that renames touch: those tied by renames share the
+    smallest path as their chain."""
+    tied = renames.select(F.coalesce("old_path", "path").alias("a"), F.col("path").alias("b"))
+    ties = tied.union(tied.select("b", "a")).distinct().persist()
+    chains = ties.select(F.col("a").alias("path"), F.col("a").alias("chain")).distinct()
+    left = 1
+    while left:
+        near = ties.join(chains.withColumnRenamed("path", "b"), "b").groupBy(F.col("a").alias("path")).agg(F.min("chain").alias("near"))
+        met = chains.join(near, "path").select("path", "chain", F.least("chain", "near").alias("low"))
+        up = chains.select(F.col("path").alias("low"), F.col("chain").alias("next"))
+        met = met.join(up, "low").select("path", "chain", "next").persist()
+        left = met.filter(F.col("next") != F.col("chain")).count()
+        chains = met.select("path", F.col("next").alias("chain"))
+    return chains
 
 
 def outcomes(batch: DataFrame) -> DataFrame:
     """``path, kind, origin`` for a batch of changes.
 
-    Paths that no rename touches are settled by a window; only changes of the others come to
-    the driver, where rename chains are followed.
+    Paths that no rename touches are settled by a window; the others are replayed, one task
+    a chain of renames.
     """
-    spark = batch.sparkSession
-    renames = batch.filter(F.col("kind") == "renamed")
-    touched = renames.select("path").union(renames.select(F.coalesce("old_path", "path"))).distinct()
+    batch = batch.filter(F.col("path") != "")
+    chains = _chains(batch.filter(F.col("kind") == "renamed"))
     last = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("seq")))
-    alone = batch.join(touched, "path", "left_anti").withColumn("n", last).filter("n = 1")
+    alone = batch.join(chains, "path", "left_anti").withColumn("n", last).filter("n = 1")
     alone = alone.select("path", F.when(F.col("kind") == "deleted", "delete").otherwise("index").alias("kind"), F.lit(None).cast("string").alias("origin"))
-    chains = batch.join(touched, "path", "left_semi").select("seq", "kind", "path", "old_path").orderBy("seq").collect()
-    folded = fold_changes((r["kind"], r["path"], r["old_path"]) for r in chains)
-    rows = [(p, o.kind, o.origin) for p, o in folded.items()]
-    return alone.unionByName(spark.createDataFrame(rows, "path string, kind string, origin string"))
+
+    def replay(events: pd.DataFrame) -> pd.DataFrame:
+        rows = events.sort_values("seq")
+        old = rows["old_path"].where(rows["old_path"].notna(), None)
+        folded = fold_changes(zip(rows["kind"], rows["path"], old))
+        return pd.DataFrame([(p, o.kind, o.origin) for p, o in folded.items()], columns=["path", "kind", "origin"])
+
+    tied = batch.join(chains, "path").select("seq", "kind", "path", "old_path", "chain")
+    return alone.unionByName(tied.groupBy("chain").applyInPandas(replay, "path string, kind string, origin string"))
 
 
 def apply_changes(docs: DataFrame, batch: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` after a batch: deleted rows go, moved ones keep id and text, changed ones are
-    read anew unless time and size are as indexed."""
+    read anew unless time and size are as indexed.  A moved file without a record is read."""
     todo = outcomes(batch).withColumn("origin", F.coalesce("origin", "path"))
     kind_of = format_column(F.col("path"))
     gone = (F.col("kind") == "delete") | ~F.coalesce(kind_of.isin(*settings.formats), F.lit(False))
     live = todo.filter(~gone)
-    ids = docs.select("id", "path")
+    ids = docs.select("id", "path", F.col("indexed_mtime").alias("old_mtime"), F.col("size").alias("old_size"))
     # ids: a record at the origin lends its id to the new path
     lent = todo.filter(F.col("origin") != F.col("path")).select("origin").distinct()
     own = live.filter(F.col("origin") == F.col("path")).join(lent, "origin", "left_anti")
     keeps = own.unionByName(live.filter(F.col("origin") != F.col("path")))
-    known = keeps.join(ids.withColumnRenamed("path", "origin"), "origin", "left").select("path", "id")
-    moved = live.join(known, "path", "left").select("path", "origin", "kind", "id")
-    touched = todo.select("path").union(todo.select(F.col("origin").alias("path"))).distinct()
-    untouched = docs.join(touched, "path", "left_anti").select(DOCS.fieldNames())
+    known = keeps.join(ids.withColumnRenamed("path", "origin"), "origin", "left").select("path", "id", "old_mtime", "old_size")
     newest = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("seq")))
     payload = batch.filter("raw is not null").withColumn("n", newest).filter("n = 1").select("path", "raw", "ctime", "mtime")
-    files = moved.filter(F.col("kind") == "index").select("path", F.col("id").alias("kept_id")).join(payload, "path")
+    moved = live.join(known, "path", "left").join(payload, "path", "left")
+    as_indexed = F.col("id").isNotNull() & (F.col("mtime") == F.col("old_mtime")) & (F.octet_length("raw") == F.col("old_size"))
+    kind = F.when(as_indexed, "move").when((F.col("kind") == "move") & F.col("id").isNull(), "index").otherwise(F.col("kind"))
+    moved = moved.select("path", "origin", kind.alias("kind"), "id", "raw", "ctime", "mtime")
+    touched = todo.select("path").union(todo.select(F.col("origin").alias("path"))).distinct()
+    untouched = docs.join(touched, "path", "left_anti").select(DOCS.fieldNames())
+    files = moved.filter((F.col("kind") == "index") & F.col("raw").isNotNull()).select("path", F.col("id").alias("kept_id"), "raw", "ctime", "mtime")
     # a path whose record has moved on gets an id that the moved one does not have
     renewed = F.xxhash64("path", "mtime")
     files = files.join(lent.select(F.col("origin").alias("path"), F.lit(True).alias("lent")), "path", "left")

@@ -79,3 +79,25 @@ def test_calendar():
     spring = dates.parse_date("2024-03-31", "Europe/Berlin")
     assert dates.add_days(spring, 1, "Europe/Berlin") - spring == 23 * 3_600_000
     assert dates.normalize_range(5, 3) == (3, 5) and dates.iso_weekday(0) == 4
+
+
+def test_dates_as_columns_and_values_agree(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from notegrove.functions.dates import parse_date, parse_date_column
+
+    forms = ["2024-03-31T02:30:00+01:00", "2024-02-29", "2023-02-29", "2024-10-27 12:30", "2024-01-01T10:00Z", "2024-01-01 10:00:05.1234567 +0530", "1.2.2024", "31.12.1999", "1700000000", "1700000000123", "2024-01-01T24:00", "[2024-01-01]", "'2024-01-01'", "2024-W01-1", "99.1.2024", "2024-01-01Z"]
+    rng, texts = random.Random(3), list(forms)
+    for _ in range(600):
+        s = list(rng.choice(forms))
+        i = rng.randrange(len(s))
+        s[i : i + 1] = rng.choice([[], [rng.choice("0123456789-:. TZz+")], [s[i], rng.choice("0123456789-:. ")]])
+        texts.append("".join(s))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = {r.t: r.d for r in df.select("t", parse_date_column(F.col("t")).alias("d")).collect()}
+    wrong = {t: (found[t], parse_date(t)) for t in texts if found[t] != parse_date(t)}
+    assert not wrong
+    assert found["2024-01-01 10:00:05.1234567 +0530"] == 1704083405123 and found["2024-02-29"] == 1709164800000
+    assert found["2023-02-29"] is None and found["2024-01-01Z"] is None
