@@ -90,17 +90,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.ones(1, dtype=np.uint64)
+#: The value of each byte in a word's hash: 0 for separators, A-Z as a-z.
+VALUE = np.where(SEPARATOR, 0, LOWER.astype(np.uint64) + np.uint64(1)).astype(np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        size = max(n, 256)
-        p = np.full(size, np.uint64(0x9E3779B97F4A7C15) | np.uint64(1), dtype=np.uint64)
+def _powers(base: int, n: int) -> np.ndarray:
+    """``base ** k`` modulo 2 ** 64 for k below n at least."""
+    if len(_POWERS.get(base, ())) < n:
+        p = np.full(max(n, SEGMENT), base, dtype=np.uint64)
         p[0] = 1
-        _POWERS = np.multiply.accumulate(p)
-    return _POWERS
+        _POWERS[base] = np.multiply.accumulate(p)
+    return _POWERS[base]
 
 
 def _segments(separator: np.ndarray, n: int):
@@ -127,26 +129,25 @@ def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lowered) of the texts, and each text's word offsets."""
+    """64-bit hashes of all words (A-Z lowered) of the texts, and each text's word offsets.
+
+    A word's hash is a polynomial in its bytes: bytes are weighed by powers of their place in
+    the segment, and a word's sum is brought to its start by the inverse power.
+    """
     buf, offsets = join_texts(texts)
     separator = SEPARATOR[buf]
     hashes, starts_all = [], []
     for a, b in _segments(separator, len(buf)):
-        sep = separator[a:b]
-        word = ~sep
+        word = ~separator[a:b]
         first = word.copy()
-        first[1:] &= sep[:-1]
+        first[1:] &= separator[a : b - 1]
         starts = np.flatnonzero(first)
         if not len(starts):
             continue
-        at = np.arange(b - a, dtype=np.int32)
-        begun = np.zeros(b - a, dtype=np.int32)
-        begun[starts] = starts
-        at -= np.maximum.accumulate(begun)
-        at[sep] = 0
-        values = (LOWER[buf[a:b]].astype(np.uint64) + np.uint64(1)) * word
-        values *= _powers(int(at.max()) + 1)[at]
-        hashes.append(mix64(np.add.reduceat(values, starts)))
+        values = VALUE[buf[a:b]]
+        values *= _powers(_BASE, b - a)[: b - a]
+        sums = np.add.reduceat(values, starts)
+        hashes.append(mix64(sums * _powers(pow(_BASE, -1, 1 << 64), b - a)[starts]))
         starts_all.append(starts + a)
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)

@@ -14,11 +14,14 @@ a piece's distinct words are joined with the counts, and its texts refer to them
 Word counts cover all documents.  Training covers every place of all documents, too: a
 place's draw masks it in one of the rounds.  In each round every partition trains from the
 same start on its masked places in numpy, and the weights are averaged by the number of
-places in a reduction tree on the executors.
+places in a reduction tree on the executors.  So the weights, and a little of each score,
+depend on how the input is divided into partitions.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +33,9 @@ CLASSES, PER_CLASS = 32, 32
 BUCKETS = 64
 NAMED = CLASSES * PER_CLASS - BUCKETS
 WIDTH, HIDDEN, SIDE = 16, 32, 2
-ROUNDS, BATCH, RATE = 2, 512, 0.1
+ROUNDS, RATE = 2, 0.1
+#: Places of a batch: at least, one of so many done before, at most.
+BATCH = (256, 32, 1024)
 FAN_IN = 32
 #: Bytes of text in a piece that is scored with a table of its words.
 PIECE = 16 << 20
@@ -67,15 +72,26 @@ class Words:
     """Maps word hashes to token ids."""
 
     def __init__(self, named: np.ndarray):
+        self.named = np.append(named, np.uint64(0))
         self.order = np.argsort(named)
         self.sorted = named[self.order]
+        slots = (named >> np.uint64(48)).astype(np.int64)
+        self.first = np.full(1 << 16, len(named), np.int32)
+        self.first[slots] = np.arange(len(named))
+        self.shared = np.bincount(slots, minlength=1 << 16) > 1  # slots of several words
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        bucket = NAMED + (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS
-        if not len(self.sorted):
-            return bucket
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.order[at], bucket)
+        out = NAMED + (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS
+        slot = (hashes >> np.uint64(48)).astype(np.int64)
+        found = self.first[slot]
+        hit = np.flatnonzero((self.named[found] == hashes) & (found < len(self.sorted)))
+        out[hit] = found[hit]
+        rest = np.flatnonzero(self.shared[slot])
+        if len(rest):
+            at = np.minimum(np.searchsorted(self.sorted, hashes[rest]), len(self.sorted) - 1)
+            same = self.sorted[at] == hashes[rest]
+            out[rest[same]] = self.order[at[same]]
+        return out
 
 
 def windows(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -98,56 +114,76 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _log_softmax_at(z: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    picked = z[rows, at].astype(np.float64)
+    return np.maximum(picked - np.log(np.exp(z, out=z).sum(axis=1)), math.log(1e-30))
+
+
 def log_probabilities(w: list[np.ndarray], around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log-probability of each word given its neighbours."""
     table, w1, b1, wc, bc, ww, bw = w
-    h = np.tanh(table[around].reshape(len(ids), -1) @ w1 + b1)
-    cls = ids // PER_CLASS
-    out = np.log(np.maximum(_softmax(h @ wc + bc)[np.arange(len(ids)), cls], 1e-30)).astype(np.float64)
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    order = np.argsort(ids, kind="stable")
+    y, rows = ids[order], np.arange(len(ids))
+    h = np.tanh(table[around[order]].reshape(len(ids), -1) @ w1 + b1)
+    cls = y // PER_CLASS
+    ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    z = np.empty((len(ids), PER_CLASS), np.float32)
     for c in range(CLASSES):
-        rows = order[ends[c] : ends[c + 1]]
-        if len(rows):
-            p = _softmax(h[rows] @ ww[c] + bw[c])
-            out[rows] += np.log(np.maximum(p[np.arange(len(rows)), ids[rows] % PER_CLASS], 1e-30))
+        if ends[c] < ends[c + 1]:
+            np.matmul(h[ends[c] : ends[c + 1]], ww[c], out=z[ends[c] : ends[c + 1]])
+    out = np.empty(len(ids))
+    out[order] = _log_softmax_at(h @ wc + bc, rows, cls) + _log_softmax_at(z + bw[cls], rows, y % PER_CLASS)
     return out
 
 
 def train_places(w: list[np.ndarray], state: list[np.ndarray], around: np.ndarray, ids: np.ndarray) -> None:
-    """Adagrad over the places in batches; changes ``w`` and ``state`` in place."""
-    for a in range(0, len(ids), BATCH):
-        x, y = around[a : a + BATCH], ids[a : a + BATCH]
+    """Adagrad over the places in batches, which grow with the places done before, if ``state``
+    ends with their number; changes ``w`` and ``state`` in place."""
+    table, w1, b1, wc, bc, ww, bw = w
+    done = int(state[-1][0]) if len(state) > len(w) else 0
+    spread = np.arange(WIDTH, dtype=np.int32)
+    at = 0
+    while at < len(ids):
+        size = min(max(BATCH[0], (done + at) // BATCH[1]), BATCH[2])
+        y = ids[at : at + size]
+        order = np.argsort(y, kind="stable")  # by class, so that a class is a slice
+        x, y = around[at : at + size][order], y[order]
+        at += size
         n, rows = len(y), np.arange(len(y))
-        table, w1, b1, wc, bc, ww, bw = w
         e = table[x].reshape(n, -1)
         h = np.tanh(e @ w1 + b1)
         cls, word = y // PER_CLASS, y % PER_CLASS
         pc = _softmax(h @ wc + bc)
         pc[rows, cls] -= 1
+        ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        p = np.empty((n, PER_CLASS), np.float32)
+        for c in range(CLASSES):
+            r = slice(ends[c], ends[c + 1])
+            if r.start < r.stop:
+                np.matmul(h[r], ww[c], out=p[r])
+        p += bw[cls]
+        p = _softmax(p)
+        p[rows, word] -= 1
+        p /= n
         pc /= n
         dh = pc @ wc.T
         gww, gbw = np.zeros_like(ww), np.zeros_like(bw)
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in np.unique(cls):
-            r = order[ends[c] : ends[c + 1]]
-            p = _softmax(h[r] @ ww[c] + bw[c])
-            p[np.arange(len(r)), word[r]] -= 1
-            p /= n
-            dh[r] += p @ ww[c].T
-            gww[c], gbw[c] = h[r].T @ p, p.sum(axis=0)
+        for c in range(CLASSES):
+            r = slice(ends[c], ends[c + 1])
+            if r.start < r.stop:
+                dh[r] += p[r] @ ww[c].T
+                np.matmul(h[r].T, p[r], out=gww[c])
+                p[r].sum(axis=0, out=gbw[c])
         dz = dh * (1 - h * h)
         de = (dz @ w1.T).reshape(-1, WIDTH)
-        used, slot = np.unique(x, return_inverse=True)
-        slot = slot.reshape(-1)
-        gt = np.stack([np.bincount(slot, de[:, k], len(used)) for k in range(WIDTH)], axis=1).astype(np.float32)
-        grads = [None, e.T @ dz, dz.sum(axis=0), h.T @ pc, pc.sum(axis=0), gww, gbw]
-        state[0][used] += gt * gt
-        table[used] -= RATE * gt / np.sqrt(state[0][used] + 1e-8)
-        for value, s, g in zip(w[1:], state[1:], grads[1:]):
+        slot = (x.reshape(-1, 1).astype(np.int32) * np.int32(WIDTH) + spread).reshape(-1)
+        gt = np.bincount(slot, de.reshape(-1), table.size).reshape(table.shape).astype(np.float32)
+        for value, s, g in zip(w, state, (gt, e.T @ dz, dz.sum(axis=0), h.T @ pc, pc.sum(axis=0), gww, gbw)):
             s += g * g
             value -= RATE * g / np.sqrt(s + 1e-8)
+    if len(state) > len(w):
+        state[-1] += len(ids)
 
 
 def _counts(batches):
@@ -167,7 +203,7 @@ def masked_rounds(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _train(named: np.ndarray, model: bytes, round_: int):
     def run(batches):
         words, w = Words(named), unpack(model)
-        state = [np.zeros_like(x) for x in w]
+        state = [*(np.zeros_like(x) for x in w), np.zeros(1, np.int64)]
         places = 0
         for batch in batches:
             texts = binary_texts(batch.column(0))

@@ -62,3 +62,37 @@ def test_training_takes_every_place_once(spark, monkeypatch):
     hashes, bounds = word_hashes([(t or "").encode() for _, t in rows])
     drawn = lm_score.masked_rounds(hashes, bounds)
     assert drawn.max() < lm_score.ROUNDS and len(set(drawn.tolist())) == lm_score.ROUNDS
+
+
+def test_ids_of_words_that_share_a_slot():
+    rng = np.random.default_rng(5)
+    named = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))
+    named[:40] = (named[0] >> np.uint64(48) << np.uint64(48)) + np.arange(40, dtype=np.uint64) * np.uint64(7)
+    rng.shuffle(named)
+    asked = np.concatenate([named, rng.integers(0, 2**63, 500).astype(np.uint64), named[:10] + np.uint64(1), [np.uint64(0)]])
+    rank = {int(w): k for k, w in enumerate(named)}
+    want = [rank.get(int(w), lm_score.NAMED + int(w >> np.uint64(40)) % lm_score.BUCKETS) for w in asked]
+    assert lm_score.Words(named).ids(asked).tolist() == want
+    assert (lm_score.Words(named[:0]).ids(asked) >= lm_score.NAMED).all()
+
+
+def test_log_probabilities_are_those_of_the_plain_formula():
+    rng = np.random.default_rng(6)
+    w = [x + rng.normal(0, 0.3, x.shape).astype(np.float32) for x in lm_score.start_weights()]
+    around, ids = rng.integers(0, lm_score.SHAPES[0][0], (300, 4)), rng.integers(0, lm_score.NAMED + lm_score.BUCKETS, 300)
+    table, w1, b1, wc, bc, ww, bw = (x.astype(np.float64) for x in w)
+    for x, y, found in zip(around, ids, lm_score.log_probabilities(w, around, ids)):
+        h = np.tanh(table[x].reshape(-1) @ w1 + b1)
+        c, k = divmod(int(y), lm_score.PER_CLASS)
+        zc, zk = h @ wc + bc, h @ ww[c] + bw[c]
+        assert abs(zc[c] - np.log(np.exp(zc).sum()) + zk[k] - np.log(np.exp(zk).sum()) - found) < 1e-4
+
+
+def test_training_lowers_the_loss():
+    rng = np.random.default_rng(7)
+    ids = np.tile(rng.integers(0, 500, 40), 400)
+    around = lm_score.windows(ids, np.array([0, len(ids)]))
+    w = lm_score.start_weights()
+    before = lm_score.log_probabilities(w, around, ids).mean()
+    lm_score.train_places(w, [np.zeros_like(x) for x in w], around, ids)
+    assert lm_score.log_probabilities(w, around, ids).mean() > before + 3
