@@ -31,6 +31,7 @@ class SearchEngine:
                  settings: Settings = Settings(), tuning: Tuning = Tuning()):
         self.docs, self.postings, self.words = docs, postings, vocabulary
         self.settings, self.tuning = settings, tuning
+        self._kept: DataFrame | None = None
 
     def parse(self, text: str) -> Query:
         return parse(text, self.tuning)
@@ -63,15 +64,25 @@ class SearchEngine:
         query = self.parse(query) if isinstance(query, str) else query
         plan = self._fuzzy(query, fuzzy)
         rows = self.matching(query, filters, fuzzy)
-        found = M.finalize(M.query_matches(query, plan.matches if plan else None, self.tuning))
+        apart = plan is None and all(len(t.variants) <= 1 for t in query.terms)
+        found = M.finalize(M.query_matches(query, plan.matches if plan else None, self.tuning), apart)
         rows = rows.select(*HIT, found.alias("matches"))
         return rows.withColumn("quality", M.worst_quality(F.col("matches")))
 
     def ranked(self, query: str | Query, filters: Filters = Filters(), fuzzy: bool = False, now: int = 0) -> DataFrame:
-        """Hits with ``score`` and ``relevance``, in no order yet."""
+        """Hits with ``score`` and ``relevance``, in no order yet.
+
+        The scored hits are kept until the next search, on disk if need be, so that the best
+        score, the order and the excerpts do not read the texts again.
+        """
         query = self.parse(query) if isinstance(query, str) else query
         hits = R.with_scores(self.hits(query, filters, fuzzy), query, now, self.tuning.weights)
-        return R.with_relevance(hits) if query.terms else hits.withColumn("relevance", F.lit(0))
+        if not query.terms:
+            return hits.withColumn("relevance", F.lit(0))
+        if self._kept is not None:
+            self._kept.unpersist()
+        self._kept = hits.persist()
+        return R.with_relevance(hits)
 
     def search(self, query: str | Query, filters: Filters = Filters(), sort: str | None = None, fuzzy: bool | None = None,
                limit: int | None = None, now: int = 0, snippets: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,30 +28,37 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+SPANS = "array<struct<start:int,end:int,whole:boolean>>"
+#: Characters of tags, and what a variant is that lies in one run of them.
+TAG = "[a-z0-9_/-]"
+
+
 def occurrences(text: Column, regex: str, most: int) -> Column:
-    """``array<struct<start,end>>`` of the first hits, left to right and not overlapping.
+    """``array<struct<start,end,whole>>`` of the first hits, left to right and not overlapping;
+    ``whole`` ones neither begin nor end inside a word.
 
-    Hits are fenced by U+0001 and U+0002, which folded text cannot hold; the text is cut at
-    the former and lengths are added up.
+    Hits are fenced by U+0001 and U+0002, and edges inside words marked by U+0005 and U+0006,
+    which folded text cannot hold; the text is cut at the first and lengths are added up.  So
+    no offset is looked up in the text, which would take time by its length for each.
     """
-    fenced = F.split(F.regexp_replace(text, f"({regex})", "\x01$1\x02"), "\x01", -1)
-    spans = "array<struct<start:int,end:int>>"
+    fenced = F.regexp_replace(text, f"({regex})", "\x01$1\x02")
+    fenced = F.regexp_replace(fenced, f"(?<={WORD}|{WORD}\x02)\x01(?={WORD})", "\x01\x05")
+    fenced = F.regexp_replace(fenced, f"(?<={WORD})\x02(?=(?:\x01\x05?)?{WORD})", "\x02\x06")
 
     def step(acc: Column, piece: Column) -> Column:
-        width = F.instr(piece, "\x02") - 1
-        hit = F.struct(acc["at"].alias("start"), (acc["at"] + width).alias("end"))
-        return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
+        into, close = piece.startswith("\x05"), F.instr(piece, "\x02")
+        out = F.substring(piece, close + 1, F.lit(1)) == "\x06"
+        begin = F.when(into, 1).otherwise(0)
+        end = acc["at"] + close - 1 - begin
+        hit = F.struct(acc["at"].alias("start"), end.alias("end"), (~into & ~out).alias("whole"))
+        at = acc["at"] + F.length(piece) - 1 - begin - F.when(out, 1).otherwise(0)
+        return F.struct(at.alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
 
     def add_up(pieces: Column) -> Column:
-        begin = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(spans).alias("hits"))
+        begin = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(SPANS).alias("hits"))
         return F.aggregate(F.slice(pieces, F.lit(2), F.lit(most)), begin, step, lambda acc: acc["hits"])
 
-    return let(fenced, add_up)
-
-
-def is_boundary(text: Column, at: Column) -> Column:
-    """Whether not both neighbours of an offset are word characters."""
-    return (at <= 0) | (at >= F.length(text)) | ~F.substring(text, at, F.lit(2)).rlike(f"^{WORD}{{2}}$")
+    return let(F.split(fenced, "\x01", -1), add_up)
 
 
 def field_at(offset: Column) -> Column:
@@ -85,7 +93,7 @@ def _match(start, end, where, index: int, whole, quality, text=None) -> Column:
 
 def _found(text: Column, variant: str, boundary: str, most: int) -> Column:
     p = pattern(variant, boundary)
-    return occurrences(text, p, most) if p else F.array().cast("array<struct<start:int,end:int>>")
+    return occurrences(text, p, most) if p else F.array().cast(SPANS)
 
 
 def _quality(term: Term, variant: str) -> int:
@@ -98,7 +106,7 @@ def in_text(term: Term, index: int, most: int) -> Column:
     def one(variant: str) -> Column:
         def build(o: Column) -> Column:
             a, b = o["start"], o["end"]
-            return _match(*original(a, b), field_at(a), index, is_boundary(text, a) & is_boundary(text, b), _quality(term, variant))
+            return _match(*original(a, b), field_at(a), index, o["whole"], _quality(term, variant))
 
         return F.transform(_found(text, variant, term.boundary, most), build)
 
@@ -111,7 +119,7 @@ def in_name(column: str, where: str, term: Term, index: int, most: int) -> Colum
     def one(variant: str) -> Column:
         def build(o: Column) -> Column:
             a, b = o["start"], o["end"]
-            return _match(a, b, F.lit(where), index, is_boundary(text, a) & is_boundary(text, b), _quality(term, variant))
+            return _match(a, b, F.lit(where), index, o["whole"], _quality(term, variant))
 
         return F.transform(_found(text, variant, term.boundary, most), build)
 
@@ -125,32 +133,59 @@ def _run_is_tag(text: Column, a: Column, b: Column) -> Column:
     return F.array_contains("tags", F.concat(before, F.substring(text, a + 1, b - a), after))
 
 
+def _tagged(text: Column, variant: str, boundary: str, most: int) -> Column:
+    """Occurrences of a variant in the text, each with whether its run of tag characters is a tag.
+
+    A variant of tag characters lies in one run: runs that hold it are found first, and the
+    hits within each, so that no run is looked for around an offset.
+    """
+    kind = "array<struct<start:int,end:int,whole:boolean,tag:boolean>>"
+    p = pattern(variant, boundary)
+    if p is None:
+        return F.array().cast(kind)
+    flag = lambda o, tag, base: F.struct(*((base + o[c]).alias(c) for c in ("start", "end")), o["whole"].alias("whole"), tag.alias("tag"))
+    if not re.fullmatch(f"{TAG}+", variant):
+        return F.transform(occurrences(text, p, most), lambda o: flag(o, _run_is_tag(text, o["start"], o["end"]), F.lit(0))).cast(kind)
+    parts = F.split(F.regexp_replace(text, f"({TAG}*{p}{TAG}*)", "\x01$1\x02"), "\x01", -1)
+
+    def inside(acc: Column, piece: Column) -> Column:
+        run = F.substring_index(piece, "\x02", 1)
+        row = F.struct(acc["at"].alias("at"), run.alias("run"))
+        return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["runs"], F.array(row)).alias("runs"))
+
+    def add_up(pieces: Column) -> Column:
+        begin = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast("array<struct<at:int,run:string>>").alias("runs"))
+        return F.aggregate(F.slice(pieces, F.lit(2), F.lit(most)), begin, inside, lambda acc: acc["runs"])
+
+    def hits(r: Column) -> Column:
+        tag = F.array_contains("tags", r["run"])
+        return F.transform(occurrences(r["run"], p, most), lambda o: flag(o, tag, r["at"])).cast(kind)
+
+    return F.slice(F.flatten(F.transform(let(parts, add_up), hits)), F.lit(1), F.lit(most))
+
+
 def in_tags(term: Term, index: int, most: int) -> Column:
     """Occurrences in the text of variants that a tag holds, those within a tag if any are."""
-    text = F.col("text_b")
+    text, kind = F.col("text_b"), "array<struct<start:int,end:int,whole:boolean,tag:boolean,q:int>>"
 
     def one(variant: str) -> Column:
-        spans = F.transform(
-            _found(text, variant, term.boundary, most),
-            lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"), _run_is_tag(text, o["start"], o["end"]).alias("tag"), F.lit(_quality(term, variant)).alias("q")),
-        )
+        spans = F.transform(_tagged(text, variant, term.boundary, most), lambda o: o.withField("q", F.lit(_quality(term, variant))))
         held = F.exists("tags", lambda t: holds(t, [variant], term.boundary))
-        return F.when(held, spans).otherwise(F.array().cast("array<struct<start:int,end:int,tag:boolean,q:int>>"))
+        return F.when(held, spans).otherwise(F.array().cast(kind))
 
     if not term.variants:
         return no_matches()
-    spans = F.concat(*map(one, term.variants))
-    chosen = F.when(F.exists(spans, lambda s: s["tag"]), F.filter(spans, lambda s: s["tag"])).otherwise(spans)
 
     def build(s: Column) -> Column:
-        a, b = s["start"], s["end"]
-        whole = is_boundary(text, a) & is_boundary(text, b)
         return F.struct(
-            *(x.cast("int").alias(n) for x, n in zip(original(a, b), ("start", "end"))), F.lit("tag").alias("field"),
-            F.lit(index).alias("term_index"), whole.alias("whole_word"), s["q"].alias("quality"), F.lit(None).cast("string").alias("matched_text"),
+            *(x.cast("int").alias(n) for x, n in zip(original(s["start"], s["end"]), ("start", "end"))), F.lit("tag").alias("field"),
+            F.lit(index).alias("term_index"), s["whole"].alias("whole_word"), s["q"].alias("quality"), F.lit(None).cast("string").alias("matched_text"),
         )
 
-    return F.transform(chosen, build)
+    def chosen(spans: Column) -> Column:
+        return F.when(F.exists(spans, lambda s: s["tag"]), F.filter(spans, lambda s: s["tag"])).otherwise(spans)
+
+    return F.transform(let(F.concat(*map(one, term.variants)), chosen), build)
 
 
 def in_property(term: Term, index: int) -> Column:
@@ -217,10 +252,11 @@ def _word_spans(text: Column, word: Column, most: int) -> Column:
     return let(cut, add_up)
 
 
-def finalize(matches: Column) -> Column:
+def finalize(matches: Column, apart: bool = False) -> Column:
     """Matches without overlaps within a term and field, in order of place.
 
-    Of overlapping ones the first stays, at one start the longer, then the better.
+    Of overlapping ones the first stays, at one start the longer, then the better.  ``apart``
+    says that there are none, as with one spelling a term.
     """
 
     def by(*keys) -> Column:
@@ -230,13 +266,26 @@ def finalize(matches: Column) -> Column:
 
     group = by(lambda m: m["term_index"], lambda m: m["field"], lambda m: m["start"], lambda m: -m["end"], lambda m: m["quality"])
     place = by(lambda m: m["start"], lambda m: m["end"], lambda m: m["term_index"])
+    if apart:
+        return place(matches)
 
     def step(acc: Column, m: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        clash = (last["term_index"] == m["term_index"]) & (last["field"] == m["field"]) & (m["start"] < last["end"])
-        return F.when(F.coalesce(clash, F.lit(False)), acc).otherwise(F.concat(acc, F.array(m)))
+        clash = (acc["term"] == m["term_index"]) & (acc["field"] == m["field"]) & (m["start"] < acc["end"])
+        at = acc["at"] + 1
+        skip = F.struct(acc["term"].alias("term"), acc["field"].alias("field"), acc["end"].alias("end"), at.alias("at"), acc["kept"].alias("kept"))
+        keep = F.struct(
+            m["term_index"].alias("term"), m["field"].alias("field"), m["end"].alias("end"), at.alias("at"), F.concat(acc["kept"], F.array(at)).alias("kept")
+        )
+        return F.when(clash, skip).otherwise(keep)
+
+    def apart_of(ms: Column) -> Column:
+        """The kept ones by their numbers, which grow cheaper than the matches would."""
+        begin = F.struct(
+            F.lit(-1).alias("term"), F.lit("").alias("field"), F.lit(-1).alias("end"), F.lit(-1).alias("at"), F.array().cast("array<int>").alias("kept")
+        )
+        return F.transform(F.aggregate(ms, begin, step, lambda acc: acc["kept"]), lambda i: F.get(ms, i))
 
-    return place(F.aggregate(group(matches), no_matches(), step))
+    return place(let(group(matches), apart_of))
 
 
 def worst_quality(matches: Column) -> Column:
