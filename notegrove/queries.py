@@ -158,9 +158,11 @@ def field_attribution(spark, sf_dir):
     return each.groupBy("m.field").agg(F.count("*").alias("n"))
 
 
-@query("whole_word_flags", f"""{DOCS_SQL}, w AS (SELECT path, t, len(regexp_extract_all(regexp_replace(t, '[^a-z0-9]+', '  ', 'g'), '(^| )that( |$)')) AS whole,
-       (length(t) - length(replace(t, 'that', ''))) // 4 AS n FROM d)
-       SELECT path, CAST(n AS INTEGER) AS n, CAST(whole AS INTEGER) AS whole FROM w WHERE n BETWEEN 1 AND 499""")
+@query("whole_word_flags", f"""{DOCS_SQL}, w AS (SELECT path, string_split(t, 'that') AS p FROM d WHERE contains(t, 'that')),
+       n AS (SELECT path, p, least(500, len(p) - 1) AS n FROM w)
+       SELECT path, CAST(n AS INTEGER) AS n, CAST(len(list_filter(range(1, n + 1), lambda i:
+         NOT (regexp_matches(p[i], '[a-z0-9]$') OR (i > 1 AND p[i] = ''))
+         AND NOT (regexp_matches(p[i + 1], '^[a-z0-9]') OR (p[i + 1] = '' AND i + 1 < len(p))))) AS INTEGER) AS whole FROM n""")
 def whole_word_flags(spark, sf_dir):
     m = F.filter("matches", lambda x: x["field"] == "body")
     out = _hits(spark, sf_dir, "that").select("path", F.size(m).alias("n"), F.size(F.filter(m, lambda x: x["whole_word"])).alias("whole"))
@@ -214,9 +216,10 @@ def top_k(spark, sf_dir):
     return out.select("position", "path", F.round("score", 6).alias("score"))
 
 
-@query("proximity_two_terms", f"""{DOCS_SQL}, o AS (
-       SELECT path, i, w FROM (SELECT path, t, unnest(range(1, length(t) + 1)) AS i FROM d WHERE contains(t, 'lichkeit') AND contains(t, 'heitung')
-         AND length(t) < 20000), (VALUES ('lichkeit'), ('heitung')) v(w) WHERE substr(t, i, length(w)) = w),
+@query("proximity_two_terms", f"""{DOCS_SQL}, s AS (
+       SELECT path, w, string_split(t, w) AS p FROM d, (VALUES ('lichkeit'), ('heitung')) v(w) WHERE contains(t, 'lichkeit') AND contains(t, 'heitung')),
+       o AS (SELECT path, w, unnest(list_transform(range(1, least(500, len(p) - 1) + 1),
+         lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) AS BIGINT) + (i - 1) * length(w))) AS i FROM s),
        p AS (SELECT a.path, min(greatest(a.i + length(a.w), b.i + length(b.w)) - least(a.i, b.i)) AS width
              FROM o a JOIN o b ON a.path = b.path AND a.w = 'lichkeit' AND b.w = 'heitung' GROUP BY a.path)
        SELECT path, round(1 + 0.4 * greatest(0.0, 1 - width / 400.0), 6) AS factor FROM p""")
