@@ -89,9 +89,24 @@ class Quantiser:
         return out
 
 
-def _units(column) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
+def _rows_of(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _sent(x: np.ndarray) -> np.ndarray:
+    """Vectors as they are shipped: in single precision where that holds them exactly."""
+    with np.errstate(over="ignore"):
+        small = x.astype("<f4")
+    return small if (small == x).all() else x.astype("<f8")
+
+
+def _received(data: list[bytes], dim: int) -> np.ndarray:
+    if all(len(d) == 4 * dim for d in data):
+        return np.frombuffer(b"".join(data), "<f4").reshape(len(data), dim).astype(np.float64)
+    return np.array([np.frombuffer(d, "<f4" if len(d) == 4 * dim else "<f8") for d in data], np.float64)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
@@ -117,7 +132,8 @@ def _assign(model: Quantiser):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                x = _units(part.column(3))
+                given = _rows_of(part.column(3))
+                x, sent = _units(given), _sent(given)
                 own, probes = model.nearest(x), model.probes(x)
                 codes = model.encode(x - model.centres[own])
                 row, target = np.nonzero(probes)
@@ -133,7 +149,7 @@ def _assign(model: Quantiser):
                         pa.array(own[row], kinds[4]),
                         pa.array(probe),
                         pa.array([codes[i].tobytes() for i in row], kinds[6]),
-                        pa.array([x[i].tobytes() for i in row], kinds[7]),
+                        pa.array([sent[i].tobytes() for i in row], kinds[7]),
                     ],
                     names=names,
                 )
@@ -147,7 +163,7 @@ def _search(model: Quantiser, cosine: float):
     def run(table: pa.Table) -> pa.Table:
         probe = table.column("probe").to_numpy()
         nodes, copies, own = (table.column(c).to_numpy() for c in ("node", "copies", "own"))
-        x = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float64).reshape(len(nodes), -1)
+        x = _units(_received(table.column("v").to_pylist(), model.dim))
         codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(len(nodes), -1)
         here = table.column("list")[0].as_py()
         p, y = np.flatnonzero(probe), np.flatnonzero(~probe)
