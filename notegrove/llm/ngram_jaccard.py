@@ -185,17 +185,17 @@ def _table(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _digest(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64())])
+    names = ("doc_id", "rid", "text_hash", "n_shingles", "key")
+    schema = pa.schema([(c, pa.int64()) for c in names])
 
     def run(batches):
         for batch in batches:
-            ids, rids, texts = batch.column(0), batch.column(1), binary_texts(batch.column(2))
+            texts = binary_texts(batch.column("text"))
             for a, b in text_batches(texts):
                 sets = shingle_sets(texts[a:b], width)
                 yield _table(
                     {
-                        "doc_id": ids.slice(a, b - a),
-                        "rid": rids.slice(a, b - a),
+                        **{c: batch.column(c).slice(a, b - a) for c in names[:3]},
                         "n_shingles": [len(s) for s in sets],
                         "key": [set_key(s) for s in sets],
                     },
@@ -527,8 +527,9 @@ def ngram_jaccard_join(
     """Group documents whose word ``width``-gram sets have a Jaccard similarity of
     ``percent`` / 100 or more.
 
-    Returns one row per row of ``docs``: ``doc_id, n_shingles, component_id, set_key``,
-    where ``component_id`` is the smallest doc_id reachable by links, itself included.
+    Returns one row per row of ``docs``: ``doc_id, n_shingles, component_id, set_key,
+    text_hash``, where ``component_id`` is the smallest doc_id reachable by links, itself
+    included, and ``text_hash`` the ``xxhash64`` of the row's text.
 
     Null, empty and blank texts have no shingles and link with nothing.  Rows with equal
     sets are linked.  Rows that repeat an id are rows of their own, each with its own text.
@@ -537,8 +538,9 @@ def ngram_jaccard_join(
     result.
     """
     text, given = F.col(text_col).cast("string"), F.col(id_col).cast("long")
-    source = docs.select(given.alias("doc_id"), F.coalesce(given, F.xxhash64(text)).alias("rid"), text.alias("text"))
-    digest = source.mapInArrow(lean(_digest(width)), "doc_id long, rid long, n_shingles long, key long")
+    hashed = F.xxhash64(text)
+    source = docs.select(given.alias("doc_id"), F.coalesce(given, hashed).alias("rid"), hashed.alias("text_hash"), text.alias("text"))
+    digest = source.mapInArrow(lean(_digest(width)), "doc_id long, rid long, text_hash long, n_shingles long, key long")
     digest = materialize(digest, "jaccard-digest")
     classes = digest.filter("n_shingles > 0").groupBy("key").agg(
         F.min("doc_id").alias("first_id"), F.min("rid").alias("rid"), F.max("n_shingles").alias("size")
@@ -581,4 +583,5 @@ def ngram_jaccard_join(
         "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("root_id")).alias("component_id"),
         F.col("key").alias("set_key"),
+        "text_hash",
     )
