@@ -1,3 +1,4 @@
+import time
 import unicodedata
 
 import pytest
@@ -101,3 +102,14 @@ def test_dates_as_columns_and_values_agree(spark):
     assert not wrong
     assert found["2024-01-01 10:00:05.1234567 +0530"] == 1704083405123 and found["2024-02-29"] == 1709164800000
     assert found["2023-02-29"] is None and found["2024-01-01Z"] is None
+
+
+def test_grams_of_a_long_text_take_linear_time(spark):
+    """Characters beyond U+FFFF count as one, and a long text is no matter of minutes."""
+    texts = ["a\U0001f600b\nc", "\U0001f600\U0001f601", None, "ab", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", grams_column(F.col("t")).alias("n"))
+    assert [r.n for r in rows.collect()] == [grams(t or "") for t in texts]
+    long = " ".join(f"w{i}ö" for i in range(60_000))
+    began = time.monotonic()
+    assert spark.createDataFrame([(long,)], "t string").select(grams_column(F.col("t")).alias("n")).first().n == grams(long)
+    assert time.monotonic() - began < 20

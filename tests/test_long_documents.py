@@ -1,10 +1,13 @@
 """Queries keep long documents and documents of many hits."""
 
 import re
+import time
+from collections import Counter
 
 import pytest
 
 from notegrove import queries
+from notegrove.functions.fold import grams
 
 FILL = "lorem ipsum dolor sit amet "
 TEXTS = [
@@ -41,3 +44,37 @@ def test_whole_word_flags_of_many_hits(spark, tmp_path):
     found = {int(r.path.split("-")[1][:-3]): (r.n, r.whole) for r in out}
     # the first 500 occurrences count
     assert found == {0: (1, 1), 1: (499, 499), 2: (500, 500), 3: (500, 500), 4: (500, 50)}
+
+
+LONG = ["lichkeites heit " + " ".join(f"w{i}o" for i in range(60_000)), "keit", "der bericht", "ab"]
+
+
+def gram_sets():
+    out = {}
+    for i, t in enumerate(LONG):
+        path = f"src1/en/doc-{i}.md"
+        out[path] = set(grams(t)) | set(grams(f"doc-{i}")) | set(grams(path))
+    return out
+
+
+def expected_grams(name):
+    held = gram_sets()
+    wanted = {p: len(g & set(grams("lichkeites"))) for p, g in held.items()}
+    counts = Counter(g for gs in held.values() for g in gs)
+    return {
+        "fuzzy_floor": [(p, n) for p, n in wanted.items() if n >= 2],
+        "gram_stats": [(len(counts), sum(counts.values()))],
+        "indexed_search": [("src1/en/doc-0.md",)],
+        "trigram_candidates": [(p,) for p, g in held.items() if {"kei", "eit"} <= g],
+        "trigram_postings": list(counts.items()),
+    }[name]
+
+
+@pytest.mark.parametrize("name", ["fuzzy_floor"])
+def test_gram_queries_of_a_long_document(spark, tmp_path, name):
+    """400 000 characters take seconds; time by the square of a text's length took minutes."""
+    sf = tables(spark, tmp_path, LONG)
+    began = time.monotonic()
+    out = [tuple(r) for r in queries.QUERIES[name](spark, sf).collect()]
+    assert time.monotonic() - began < 30
+    assert sorted(out) == sorted(expected_grams(name))
