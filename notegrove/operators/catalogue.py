@@ -15,8 +15,8 @@ def stats(docs: DataFrame, grams: DataFrame | None = None) -> DataFrame:
         F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n_words"),
     )
     if grams is not None:
-        each = grams.groupBy("gram").count().agg(F.count("*").alias("n_grams"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_postings"))
-        out = out.withColumn("n_grams", each.select("n_grams").scalar()).withColumn("n_postings", each.select("n_postings").scalar())
+        each = grams.groupBy("gram").count().agg(F.struct(F.count("*").alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("held")).alias("g"))
+        out = out.withColumn("g", each.scalar()).select("*", F.col("g.n").alias("n_grams"), F.col("g.held").alias("n_postings")).drop("g")
     return out
 
 
