@@ -70,7 +70,7 @@ def expected_grams(name):
     }[name]
 
 
-@pytest.mark.parametrize("name", ["fuzzy_floor", "gram_stats", "indexed_search", "trigram_candidates"])
+@pytest.mark.parametrize("name", ["fuzzy_floor", "gram_stats", "indexed_search", "trigram_candidates", "trigram_postings"])
 def test_gram_queries_of_a_long_document(spark, tmp_path, name):
     """400 000 characters take seconds; time by the square of a text's length took minutes."""
     sf = tables(spark, tmp_path, LONG)
