@@ -1,6 +1,9 @@
 import itertools
 import random
 
+import pytest
+
+from notegrove import queries
 from notegrove.config import Settings
 from notegrove.sources import store
 from notegrove.sources.ingest import build_docs, live_files, read_files
@@ -122,3 +125,17 @@ def test_follow_a_stream(spark, tmp_path):
     s = store.Store(spark, f"{tmp_path}/store")
     changes.follow(spark, f"{feed}/*", s, checkpoint=f"{tmp_path}/cp").awaitTermination(120)
     assert [r.text for r in s.load(Settings()).docs.collect()] == ["alpha"]
+
+
+@pytest.mark.parametrize("newest_first", [False, True])
+def test_apply_changes_begins_with_the_same_records_however_rows_come(spark, tmp_path, monkeypatch, newest_first):
+    """The records are read more than once, so an arbitrary one of a path's would not do."""
+    events = spark.range(197).selectExpr("id AS event_id", "timestamp_millis(1704067200000 + id * 1000) AS ts", "id % 3 AS user_id", "'k' || (100 + id) AS props")
+    events.coalesce(1).sortWithinPartitions("event_id", ascending=not newest_first).write.parquet(f"{tmp_path}/events.parquet")
+    seen, apply = [], changes.apply_changes
+    monkeypatch.setattr(changes, "apply_changes", lambda docs, batch: seen.append(docs) or apply(docs, batch))
+    out = queries.QUERIES["apply_changes"](spark, str(tmp_path))
+    newest = lambda ids: {f"u/{u}.md": f"k{100 + max(i for i in ids if i % 3 == u)}" for u in range(3)}
+    assert {r.path: r.raw for r in seen[0].collect()} == newest(range(0, 197, 10))
+    live = {p: raw for p, raw in newest(range(197)).items() if (int(raw[1:]) - 100) % 7}
+    assert {r.path: r.raw for r in out.collect()} == live and len(live) == 2
