@@ -78,3 +78,13 @@ def test_gram_queries_of_a_long_document(spark, tmp_path, name):
     out = [tuple(r) for r in queries.QUERIES[name](spark, sf).collect()]
     assert time.monotonic() - began < 30
     assert sorted(out) == sorted(expected_grams(name))
+
+
+def test_top_k_breaks_ties_by_code_point_of_the_path(spark, tmp_path):
+    """As its SQL does; the order of hits in a text is no difference of score."""
+    rows = [(10_000 + i, t, "en", s, 1) for i, (s, t) in enumerate([("src7", "keit xkeit " * 9), ("src19", "xkeit keit " * 9), ("src19", "keit " * 18), ("src2", "xkeit " * 9 + "keit " * 9)])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = queries.QUERIES["top_k"](spark, str(tmp_path)).collect()
+    assert [r.path for r in out] == ["src19/en/doc-10002.md", "src19/en/doc-10001.md", "src2/en/doc-10003.md", "src7/en/doc-10000.md"]
+    assert [r.position for r in out] == [0, 1, 2, 3] and len({r.score for r in out}) == 2
