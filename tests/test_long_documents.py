@@ -88,3 +88,36 @@ def test_top_k_breaks_ties_by_code_point_of_the_path(spark, tmp_path):
     out = queries.QUERIES["top_k"](spark, str(tmp_path)).collect()
     assert [r.path for r in out] == ["src19/en/doc-10002.md", "src19/en/doc-10001.md", "src2/en/doc-10003.md", "src7/en/doc-10000.md"]
     assert [r.position for r in out] == [0, 1, 2, 3] and len({r.score for r in out}) == 2
+
+
+def test_grams_of_any_signs_and_lengths(monkeypatch):
+    """Documents are taken together, alone or in parts, with the same grams."""
+    from notegrove.plans import access
+
+    odd = ["".join(map(chr, range(0x4E00, 0x4E00 + 5000))), "x\U0001f600y\U0001f600z", "ab", ""]
+    docs = [[t, "doc", f"a/{k}"] for k, t in enumerate([*odd, "abcabcab" * 40, "zz" + "ab" * 90])]
+    expected = {(k, g) for k, doc in enumerate(docs) for t in doc for g in grams(t)}
+    for span, some in ((1 << 20, docs), (7, docs), (1 << 20, docs * 2)):
+        monkeypatch.setattr(access, "SPAN", span)
+        numbers, keys = access._of_many(some)
+        found = list(zip(numbers.tolist(), access._spelt(keys).to_pylist()))
+        assert len(found) == len(set(found)) and {(k % len(docs), g) for k, g in found} == expected
+    alone = [access._of_one(doc)[1].tolist() for doc in docs]
+    assert [len(set(a)) for a in alone] == [len({g for k, g in expected if k == n}) for n in range(len(docs))]
+
+
+@pytest.mark.parametrize("name", ["trigram_postings"])
+def test_gram_queries_cut_grams_once_and_leave_labels(spark, tmp_path, name):
+    """A document with two rows of labels counts once, as the SQL's DISTINCT and GROUP BY have
+    it; the texts are cut once, however many terms are asked for, and never shuffled."""
+    sf = tables(spark, tmp_path, LONG[1:] + ["lichkeit heit"])
+    spark.createDataFrame([(0, 1, 0), (0, 1, 0)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{sf}/labels.parquet")
+    out = queries.QUERIES[name](spark, sf)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("collect_set(") <= 1
+    found = sorted(tuple(r) for r in out.collect())
+    docs = [*LONG[1:], "lichkeit heit"]
+    held = {f"src1/en/doc-{i}.md": set(grams(t)) | set(grams(f"doc-{i}")) | set(grams(f"src1/en/doc-{i}.md")) for i, t in enumerate(docs)}
+    counts = Counter(g for gs in held.values() for g in gs)
+    expected = {"trigram_postings": list(counts.items()), "trigram_candidates": [(p,) for p, g in held.items() if {"kei", "eit"} <= g], "indexed_search": [("src1/en/doc-3.md",)]}
+    assert found == sorted(expected[name])
