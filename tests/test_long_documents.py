@@ -106,7 +106,7 @@ def test_grams_of_any_signs_and_lengths(monkeypatch):
     assert [len(set(a)) for a in alone] == [len({g for k, g in expected if k == n}) for n in range(len(docs))]
 
 
-@pytest.mark.parametrize("name", ["trigram_postings", "trigram_candidates"])
+@pytest.mark.parametrize("name", ["trigram_postings", "trigram_candidates", "indexed_search"])
 def test_gram_queries_cut_grams_once_and_leave_labels(spark, tmp_path, name):
     """A document with two rows of labels counts once, as the SQL's DISTINCT and GROUP BY have
     it; the texts are cut once, however many terms are asked for, and never shuffled."""
