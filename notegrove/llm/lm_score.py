@@ -39,6 +39,8 @@ BATCH = (256, 32, 1024)
 FAN_IN = 32
 #: Bytes of text in a piece that is scored with a table of its words.
 PIECE = 16 << 20
+#: Places that are scored at once; their arrays stay in the caches.
+SCORED = 1 << 12
 SHAPES = [
     (NAMED + BUCKETS + 1, WIDTH),
     (2 * SIDE * WIDTH, HIDDEN),
@@ -94,98 +96,156 @@ class Words:
         return out
 
 
-def windows(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The neighbours of each place within its text; the id after the last stands for none."""
+def windows(ids: np.ndarray, bounds: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+    """The neighbours within their text of all places, or of some in ascending order; the id
+    after the last stands for none."""
     none = NAMED + BUCKETS
-    n = len(ids)
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    out = np.full((n, 2 * SIDE), none, np.int64)
+    padded = np.full(len(ids) + 2 * SIDE, none, np.int64)
+    padded[SIDE : SIDE + len(ids)] = ids
+    chosen = np.arange(len(ids)) if places is None else places
+    out = np.empty((len(chosen), 2 * SIDE), np.int64)
     for k, d in enumerate([x for x in range(-SIDE, SIDE + 1) if x]):
-        at = np.arange(max(0, -d), n - max(0, d))
-        same = at[doc[at] == doc[at + d]]
-        out[same, k] = ids[same + d]
+        out[:, k] = padded.take(chosen + (SIDE + d))
+        # places at a bound whose neighbour lies across it
+        for near in range(abs(d)):
+            edge = bounds[:-1] + near if d < 0 else bounds[1:] - 1 - near
+            edge = edge[(bounds[:-1] <= edge) & (edge < bounds[1:])]
+            row = edge if places is None else np.searchsorted(chosen, edge)
+            if places is not None:
+                row = row[(row < len(chosen)) & (chosen.take(row, mode="clip") == edge)] if len(chosen) else row[:0]
+            out[row, k] = none
     return out
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+    """Softmax of each column, in place."""
+    z -= z.max(axis=0)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= z.sum(axis=0)
     return z
 
 
 def _log_softmax_at(z: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    picked = z[rows, at].astype(np.float64)
-    return np.maximum(picked - np.log(np.exp(z, out=z).sum(axis=1)), math.log(1e-30))
+    z -= z.max(axis=0)
+    picked = z[at, rows].astype(np.float64)
+    return np.maximum(picked - np.log(np.exp(z, out=z).sum(axis=0)), math.log(1e-30))
+
+
+def _hidden(table: np.ndarray, around: np.ndarray, w1: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The neighbours' embeddings, one after the other, and the tanh layer over them."""
+    e = table.take(around, axis=0).reshape(len(around), -1)
+    h = e @ w1
+    h += b1
+    return e, np.tanh(h, out=h)
+
+
+def _class_slices(cls: np.ndarray) -> list[tuple[int, int, int]]:
+    """Class, start and end of each class that sorted places have."""
+    ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    return [(c, a, b) for c, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+
+
+def _within(h: np.ndarray, cls: np.ndarray, slices: list[tuple[int, int, int]], ww: np.ndarray, bw: np.ndarray) -> np.ndarray:
+    """Logits of the words of each place's class, a column a place."""
+    z = np.empty((PER_CLASS, len(h)), np.float32)
+    turned = h.T
+    for c, a, b in slices:
+        np.matmul(ww[c].T, turned[:, a:b], out=z[:, a:b])
+    z += bw.T.take(cls, axis=1)
+    return z
 
 
 def log_probabilities(w: list[np.ndarray], around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log-probability of each word given its neighbours."""
     table, w1, b1, wc, bc, ww, bw = w
-    order = np.argsort(ids, kind="stable")
-    y, rows = ids[order], np.arange(len(ids))
-    h = np.tanh(table[around[order]].reshape(len(ids), -1) @ w1 + b1)
+    order = np.argsort(ids.astype(np.int16), kind="stable")  # a radix sort
+    y, rows = ids.take(order), np.arange(len(ids))
+    h = _hidden(table, around.take(order, axis=0), w1, b1)[1]
     cls = y // PER_CLASS
-    ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
-    z = np.empty((len(ids), PER_CLASS), np.float32)
-    for c in range(CLASSES):
-        if ends[c] < ends[c + 1]:
-            np.matmul(h[ends[c] : ends[c + 1]], ww[c], out=z[ends[c] : ends[c + 1]])
+    first = wc.T @ h.T
+    first += bc[:, None]
     out = np.empty(len(ids))
-    out[order] = _log_softmax_at(h @ wc + bc, rows, cls) + _log_softmax_at(z + bw[cls], rows, y % PER_CLASS)
+    out[order] = _log_softmax_at(first, rows, cls) + _log_softmax_at(_within(h, cls, _class_slices(cls), ww, bw), rows, y % PER_CLASS)
     return out
 
 
+def _side_by_side(arrays: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A copy of the arrays in one, and views of it in their shapes."""
+    flat = np.concatenate([x.reshape(-1) for x in arrays])
+    ends = np.cumsum([x.size for x in arrays])
+    return flat, [v.reshape(x.shape) for v, x in zip(np.split(flat, ends[:-1]), arrays)]
+
+
 def train_places(w: list[np.ndarray], state: list[np.ndarray], around: np.ndarray, ids: np.ndarray) -> None:
     """Adagrad over the places in batches, which grow with the places done before, if ``state``
-    ends with their number; changes ``w`` and ``state`` in place."""
-    table, w1, b1, wc, bc, ww, bw = w
+    ends with their number; changes ``w`` and ``state`` in place.
+
+    Weights, squares and gradients lie side by side, so a batch updates all in a few passes.
+    Logits have a column a place: sums over a class or a vocabulary run along the places.
+    """
+    values, inner = _side_by_side(w)
+    table, w1, b1, wc, bc, ww, bw = inner
+    squares, _ = _side_by_side(state[: len(w)])
+    grads, (gt, gw1, gb1, gwc, gbc, gww, gbw) = _side_by_side([np.zeros_like(x) for x in w])
+    step = np.empty_like(values)
     done = int(state[-1][0]) if len(state) > len(w) else 0
-    spread = np.arange(WIDTH, dtype=np.int32)
+    spread = np.arange(WIDTH)
     at = 0
     while at < len(ids):
         size = min(max(BATCH[0], (done + at) // BATCH[1]), BATCH[2])
         y = ids[at : at + size]
-        order = np.argsort(y, kind="stable")  # by class, so that a class is a slice
-        x, y = around[at : at + size][order], y[order]
+        order = np.argsort(y.astype(np.int16), kind="stable")  # by class, so that a class is a slice
+        x, y = around[at : at + size].take(order, axis=0), y.take(order)
         at += size
         n, rows = len(y), np.arange(len(y))
-        e = table[x].reshape(n, -1)
-        h = np.tanh(e @ w1 + b1)
+        e, h = _hidden(table, x, w1, b1)
         cls, word = y // PER_CLASS, y % PER_CLASS
-        pc = _softmax(h @ wc + bc)
-        pc[rows, cls] -= 1
-        ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
-        p = np.empty((n, PER_CLASS), np.float32)
-        for c in range(CLASSES):
-            r = slice(ends[c], ends[c + 1])
-            if r.start < r.stop:
-                np.matmul(h[r], ww[c], out=p[r])
-        p += bw[cls]
-        p = _softmax(p)
-        p[rows, word] -= 1
+        slices = _class_slices(cls)
+        pc = wc.T @ h.T
+        pc += bc[:, None]
+        pc = _softmax(pc)
+        pc[cls, rows] -= 1
+        p = _softmax(_within(h, cls, slices, ww, bw))
+        p[word, rows] -= 1
         p /= n
         pc /= n
-        dh = pc @ wc.T
-        gww, gbw = np.zeros_like(ww), np.zeros_like(bw)
-        for c in range(CLASSES):
-            r = slice(ends[c], ends[c + 1])
-            if r.start < r.stop:
-                dh[r] += p[r] @ ww[c].T
-                np.matmul(h[r].T, p[r], out=gww[c])
-                p[r].sum(axis=0, out=gbw[c])
-        dz = dh * (1 - h * h)
-        de = (dz @ w1.T).reshape(-1, WIDTH)
-        slot = (x.reshape(-1, 1).astype(np.int32) * np.int32(WIDTH) + spread).reshape(-1)
-        gt = np.bincount(slot, de.reshape(-1), table.size).reshape(table.shape).astype(np.float32)
-        for value, s, g in zip(w, state, (gt, e.T @ dz, dz.sum(axis=0), h.T @ pc, pc.sum(axis=0), gww, gbw)):
-            s += g * g
-            value -= RATE * g / np.sqrt(s + 1e-8)
+        dh = np.empty((HIDDEN, n), np.float32)
+        gww.fill(0)
+        gbw.fill(0)
+        for c, a, b in slices:
+            np.matmul(ww[c], p[:, a:b], out=dh[:, a:b])
+            np.matmul(h[a:b].T, p[:, a:b].T, out=gww[c])
+        gbw[[c for c, _, _ in slices]] = np.add.reduceat(p, [a for _, a, _ in slices], axis=1).T
+        dh += wc @ pc
+        dz = (1 - h * h).T
+        dz *= dh
+        de = dz.T @ w1.T
+        slot = (x.reshape(-1, 1) * WIDTH + spread).reshape(-1)
+        gt[...] = np.bincount(slot, de.reshape(-1), table.size).reshape(table.shape)
+        np.matmul(e.T, dz.T, out=gw1)
+        np.matmul(h.T, pc.T, out=gwc)
+        dz.sum(axis=1, out=gb1)
+        pc.sum(axis=1, out=gbc)
+        np.multiply(grads, grads, out=step)
+        squares += step
+        np.add(squares, np.float32(1e-8), out=step)
+        np.sqrt(step, out=step)
+        grads *= np.float32(RATE)
+        np.divide(grads, step, out=step)
+        values -= step
+    _put_back(w, values)
+    _put_back(state[: len(w)], squares)
     if len(state) > len(w):
         state[-1] += len(ids)
 
 
+def _put_back(arrays: list[np.ndarray], flat: np.ndarray) -> None:
+    at = 0
+    for x in arrays:
+        x[...] = flat[at : at + x.size].reshape(x.shape)
+        at += x.size
+
+
 def _counts(batches):
     for batch in batches:
         texts = binary_texts(batch.column(0))
@@ -211,7 +271,7 @@ def _train(named: np.ndarray, model: bytes, round_: int):
                 hashes, bounds = word_hashes(texts[a:b])
                 ids = words.ids(hashes)
                 chosen = np.flatnonzero(masked_rounds(hashes, bounds) == round_)
-                train_places(w, state, windows(ids, bounds)[chosen], ids[chosen])
+                train_places(w, state, windows(ids, bounds, chosen), ids[chosen])
                 places += len(chosen)
         if places:
             yield pa.RecordBatch.from_arrays([pa.array([pack(w)], pa.binary()), pa.array([places], pa.int64())], names=["model", "places"])
@@ -292,8 +352,8 @@ def _code(named: np.ndarray, model: bytes):
                 ids = words.ids(hashes)
                 around = windows(ids, bounds)
                 logs = np.zeros(len(ids) + 1)
-                for k in range(0, len(ids), 1 << 14):
-                    logs[k : k + (1 << 14)][: len(ids) - k] = log_probabilities(w, around[k : k + (1 << 14)], ids[k : k + (1 << 14)])
+                for k in range(0, len(ids), SCORED):
+                    logs[k : k + SCORED][: len(ids) - k] = log_probabilities(w, around[k : k + SCORED], ids[k : k + SCORED])
                 total = np.concatenate([[0.0], np.cumsum(logs)])
                 other = ids >= NAMED
                 before = np.concatenate([[0], np.cumsum(other)])

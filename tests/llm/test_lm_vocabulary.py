@@ -1,6 +1,7 @@
 """LM scoring tells words apart that the network sees as one bucket."""
 
 import numpy as np
+import pytest
 
 from notegrove.llm import lm_score
 from notegrove.llm.common import word_hashes
@@ -96,3 +97,37 @@ def test_training_lowers_the_loss():
     before = lm_score.log_probabilities(w, around, ids).mean()
     lm_score.train_places(w, [np.zeros_like(x) for x in w], around, ids)
     assert lm_score.log_probabilities(w, around, ids).mean() > before + 3
+
+
+def test_windows_of_chosen_places_are_those_of_all():
+    """Only the masked places of a round are looked up."""
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        bounds = np.concatenate([[0], np.cumsum(rng.integers(0, 7, rng.integers(0, 8)))]).astype(np.int64)
+        ids = rng.integers(0, 1024, bounds[-1])
+        chosen = np.flatnonzero(rng.random(len(ids)) < 0.5)
+        none = lm_score.NAMED + lm_score.BUCKETS
+        near = [-2, -1, 1, 2]
+        doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        expected = [[ids[i + d] if 0 <= i + d < len(ids) and doc[i + d] == doc[i] else none for d in near] for i in range(len(ids))]
+        assert lm_score.windows(ids, bounds).tolist() == expected
+        assert lm_score.windows(ids, bounds, chosen).tolist() == [expected[i] for i in chosen]
+
+
+def test_a_step_of_training_follows_the_gradient():
+    """Adagrad's first step on one place: each weight moves by the rate against its gradient's sign."""
+    w = lm_score.start_weights()
+    around, ids = np.array([[3, 700, 1024, 5]]), np.array([37])
+    before = [x.copy() for x in w]
+    state = [np.zeros_like(x) for x in w]
+    lm_score.train_places(w, state, around, ids)
+    for k, x in enumerate(before):  # the steepest weight of each array, by differences
+        at = np.unravel_index(np.argmax(state[k]), x.shape)
+        probed = []
+        for d in (1e-2, -1e-2):
+            moved = [y.copy() for y in before]
+            moved[k][at] += d
+            probed.append(lm_score.log_probabilities(moved, around, ids)[0])
+        slope = (probed[0] - probed[1]) / 2e-2
+        assert abs(slope) == pytest.approx(np.sqrt(state[k][at]), rel=0.05)
+        assert w[k][at] - x[at] == pytest.approx(lm_score.RATE * np.sign(slope), rel=0.01)
